@@ -102,3 +102,73 @@ def distinct_sorted(values: np.ndarray) -> np.ndarray:
     keep = np.ones(len(values), bool)
     np.not_equal(values[1:], values[:-1], out=keep[1:])
     return values[keep]
+
+
+class IdFilter:
+    """A bitmap over hashed 64-bit ids, without false negatives and of bounded size (8 MB at most).
+
+    It only spares work: what it lets through still has to be joined. It is built by an aggregation to
+    words, so that at most ``2**20`` of them reach the driver, whatever the number of ids.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, most_bits: int = 26):
+        n = ids.count()
+        self.bits = min(most_bits, max(10, int(16 * max(n, 1)).bit_length()))
+        mask = (1 << self.bits) - 1
+
+        def words(batches):
+            for batch in batches:
+                at = distinct_sorted(self.places(batch.column(0).to_numpy(zero_copy_only=False)) & mask)
+                w, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(bits.view(np.int64), pa.int64())], ["w", "b"])
+
+        rows = ids.select(column).where(f"{column} is not null").mapInArrow(words, "w long, b long").groupBy("w").agg({"b": "bit_or"}).toArrow()
+        self.words = np.zeros(max(1, (1 << self.bits) >> 6), np.uint64)
+        self.words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+
+    @staticmethod
+    def places(ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(2)).astype(np.int64)
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(ids) & ((1 << self.bits) - 1)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def without_ids(docs: DataFrame, removed: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``removed``; rows with a null id stay.
+
+    Rows that a bitmap of the removed ids rules out pass by without a shuffle; only the others, about as
+    many as are removed, meet the exact anti join.
+    """
+    gate = docs.sparkSession.sparkContext.broadcast(IdFilter(removed, column))
+
+    def split(hit: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index(column))
+                known = np.asarray(ids.is_valid())
+                maybe = gate.value.maybe(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & known
+                part = batch.filter(pa.array(maybe if hit else ~maybe))
+                if part.num_rows:
+                    yield part
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return split(False).unionByName(split(True).join(removed.select(column).distinct(), column, "left_anti").select(*docs.columns))
+
+
+# --- packed arrays: numpy blobs shuffle at a fraction of the cost of rows -----------------------
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned integers, byte by byte (high planes of small numbers compress away)."""
+    return np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, html_render, mixing, packing, pii, toxicity, url_filter
+from . import canonical, html_render, jaccard_join, mixing, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_html_text": html_render.op6_html_text,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_canonical_digest": canonical.op8_canonical_digest,
     "op10_best_fit": packing.op10_best_fit,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_jaccard_join": jaccard_join.ORACLE,
+}

@@ -1,37 +1,39 @@
 """Exact similarity join of documents by the Jaccard index of their word shingles.
 
-Token-combination prefixes. All tokens are put in one global order: rare ones first (by hash),
-then frequent ones by rising document frequency. Two similar sets share at least k tokens among the
-first n - ceil(t*n) + k of each. Documents are indexed
-
-* under every rare token of that extended prefix, on its own;
-* under pairs of frequent tokens of it. Frequent tokens are dealt into k - 1 groups by hash, so
-  that k shared ones must put two into one group: only pairs within a group are indexed, a number linear in the
-  size of the set. k grows with the size class (a power of two) of the larger set; a document
-  that may meet sets of the next class is indexed for that one too.
-
-So any similar pair meets under a shared rare token, or else under a pair of frequent ones. Candidates
-are verified on whole sets. Documents with equal sets form one class, which is indexed and verified
-once; a class's links count with the number of its documents.
-
-Tokens travel as packed arrays, a few bytes each. Token values are 64-bit hashes of which the
-index and the verification use 48 bits: a collision within a pair of sets changes its count with
-odds below 1e-8.
+One scan, then only packed arrays of token hashes move:
+
+1. Scan. Tasks hash the shingles of their documents and send (token, document) arrays by token.
+2. Where all occurrences of a token meet, its document frequency is known. Tokens that only one document has
+   can't be shared, and go no further; the others return, with their frequency, to where their documents' arrays came from.
+3. A document that has less than t*n shareable tokens is similar to nothing. Of the others, the shareable
+   sets are kept: all that indexing and verification need.
+4. Token-combination prefixes. The global order is: unshared tokens, then the others by rising frequency. Two
+   similar sets share at least k tokens among the first n - ceil(t*n) + k of each. A document
+   is indexed under every rare token of that extended prefix on its own, and under pairs of its frequent tokens.
+   Frequent tokens are dealt into k - 1 groups by hash, so that k shared ones put two into one group:
+   only pairs within a group are indexed, a number linear in the size of the set. k grows with the size class (a power
+   of two) of the larger set; a document that may meet sets of the next class is indexed for that one too.
+   So any similar pair meets under a shared rare token, or else under a pair of frequent ones.
+5. Candidates are verified on their whole sets, near the sets of their block.
+
+Documents with equal sets form one class, which is indexed and verified once; a class's links count with
+the number of its documents. Tokens are 48-bit hashes: a collision within a pair of sets, which would
+change its count by one, has odds below 1e-8.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, checkpointed, distinct_sorted, mix64, partitions, planes, table, text_rows, unplanes, without_ids, word_hashes
+from .common import checkpointed, distinct_sorted, mix64, partitions, planes, table, text_rows, unplanes, without_ids, word_hashes
 from .graph import components
 
 PERCENT = 70
 FREQUENT = 32  # documents from which on a token counts as frequent
-MOST_FREQUENT = 1 << 19  # the frequent tokens that are told to all tasks (8 bytes each); beyond, the most frequent ones
 ID_BITS = 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _HOT_BLOCK = 500_000
@@ -76,27 +78,20 @@ def shared_needed(c: int, percent: int) -> int:
     return max(1, min(k, least_shared(1 << c, percent)))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, the first two rare tokens in the global order or 0) of a set; keys are 48-bit.
+def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(index keys, the first two rare tokens in the global order, or 0) of a set of n tokens.
 
-    frequent: the frequent tokens in rising order of frequency.
+    tokens, df: its shareable tokens in the global order; the n - len(tokens) others come before them.
     """
-    n = len(s)
-    if len(frequent.values):
-        at = np.minimum(np.searchsorted(frequent.values, s), len(frequent.values) - 1)
-        often = frequent.values[at] == s
-        rare, rest, ranks = s[~often], s[often], frequent.ranks[at[often]]
-        rest = rest[np.argsort(ranks, kind="stable")]
-    else:
-        rare, rest = s, s[:0]
     own = size_class(n)
     levels = [own] + ([own + 1] if 100 * n >= percent * (2 << own) else [])
-    spare = n - least_shared(n, percent)
-    lengths = [min(n, spare + shared_needed(c, percent)) for c in levels]
-    singles = rare[: max(lengths)]
+    spare = n - least_shared(n, percent) - (n - len(tokens))
+    lengths = [max(0, min(len(tokens), spare + shared_needed(c, percent))) for c in levels]
+    n_rare = int(np.searchsorted(df, frequent))
+    singles = tokens[: min(n_rare, max(lengths))]
     out = [singles]
     for c, length in zip(levels, lengths):
-        tail = rest[: max(0, length - len(rare))]
+        tail = tokens[n_rare:length]
         k = shared_needed(c, percent)
         if k == 1:
             out.append(tail)
@@ -117,101 +112,171 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> t
     return np.concatenate(out), first
 
 
-class Frequent:
-    def __init__(self, tokens: np.ndarray, df: np.ndarray):
-        """Tokens in value order with their rank by (df, token)."""
-        by = np.lexsort((tokens, df))
-        ranks = np.empty(len(tokens), np.int64)
-        ranks[by] = np.arange(len(tokens))
-        order = np.argsort(tokens)
-        self.values, self.ranks = tokens[order].astype(np.uint64), ranks[order]
+TOKENS, MEMBERS = 0, 1
+_FLUSH = 3_000_000  # tokens, or
+_FLUSH_DOCS = 30_000  # documents that a task gathers before it sends
+_ROW = "g int, f long, kind byte, blob binary"
 
 
-def _place(n: int) -> int:
-    """Bits that choose a token's group for counting: at least four groups per task."""
+def _rows(rows):
+    for at in range(0, len(rows), 32):
+        part = rows[at : at + 32]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int8(), pa.binary()))], ["g", "f", "kind", "blob"])
+
+
+def _bits(n: int) -> int:
+    """Bits of a token that choose its group: at least four groups per task."""
     return max(8, (4 * n - 1).bit_length())
 
 
-def frequent_tokens(docs: DataFrame, width: int = 3, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> Frequent:
-    """Tokens by document frequency over the whole table (equal sets within a task count once).
+def _cut(tokens: np.ndarray, low: int, bits: int) -> np.ndarray:
+    return np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
 
-    Tasks send sorted arrays of distinct tokens as differences; groups of tokens are counted where they meet.
-    """
-    n = partitions(docs)
-    bits = _place(n)
+
+def _scan(batches, width: int, bits: int):
+    """Per flush f: token rows of every group g, and one row of members (null, doc_id, class, n, number in f)."""
+    low = ID_BITS - bits
+    task = TaskContext.get().partitionId()
+    flushes = 0
+
+    def flush(sets, members):
+        f = task << 24 | flushes
+        rows = [(f % (1 << bits), f, MEMBERS, np.array(members, np.int64).tobytes())]
+        if sets:
+            tokens = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(x) for x in sets])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            cuts = _cut(tokens, low, bits)
+            mask = np.uint64((1 << low) - 1)
+            for g in np.flatnonzero(np.diff(cuts)):
+                at = slice(cuts[g], cuts[g + 1])
+                rows.append((int(g), f, TOKENS, planes(np.diff(tokens[at] & mask, prepend=np.uint64(0)), 5) + planes(owner[at], 2)))
+        yield from _rows(rows)
+
+    sets, members, size, number = [], [], 0, {}
+    for ids, texts in text_rows(batches):
+        for i, t in zip(ids, texts):
+            s = shingles(t, width)
+            name = class_of(s) if len(s) else 0
+            if len(s) and name not in number:
+                number[name] = len(sets)
+                sets.append(s)
+                size += len(s)
+            members.append((i is None, i or 0, name, len(s), number.get(name, -1)))
+        if size > _FLUSH or len(members) > _FLUSH_DOCS:
+            yield from flush(sets, members)
+            flushes += 1
+            sets, members, size, number = [], [], 0, {}
+    if members:
+        yield from flush(sets, members)
+
+
+def _frequencies(batches, bits: int):
+    """Of rows in order of g: members pass; of tokens, those in two or more sets go back to their flush, with their frequency."""
     low = ID_BITS - bits
 
-    def send(values: np.ndarray):
-        values = np.sort(values)
-        keep = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        counts = np.diff(np.append(keep, len(values)))
-        values = values[keep]
-        cuts = np.searchsorted(values, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
-        groups, blobs, extra = [], [], []
-        for g in np.flatnonzero(np.diff(cuts)):
-            v, c = values[cuts[g] : cuts[g + 1]], counts[cuts[g] : cuts[g + 1]]
-            more = np.flatnonzero(c > 1)
-            groups.append(int(g))
-            blobs.append(planes(np.diff(v & np.uint64((1 << low) - 1), prepend=np.uint64(0)), 5))
-            extra.append(planes(more.astype(np.uint64), 4) + planes(c[more].astype(np.uint64), 4))
-        for at in range(0, len(groups), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(groups[at : at + 64], pa.int32()), pa.array(blobs[at : at + 64], pa.binary()), pa.array(extra[at : at + 64], pa.binary())], ["g", "v", "c"])
-
-    def gather(batches):
-        held, size, seen = [], 0, set()
-        for (texts,) in _texts(batches):
-            for t in texts:
-                s = shingles(t, width)
-                if len(s):
-                    name = class_of(s)
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    held.append(s)
-                    size += len(s)
-                    if size > 4_000_000:
-                        yield from send(np.concatenate(held))
-                        held, size = [], 0
-            if len(seen) > 500_000:
-                seen = set()
-        if held:
-            yield from send(np.concatenate(held))
-
-    def count(t: pa.Table) -> pa.Table:
-        base = np.uint64(t.column("g")[0].as_py()) << np.uint64(low)
-        values, counts = [], []
-        for v, c in zip(t.column("v"), t.column("c")):
-            v = np.cumsum(unplanes(v.as_py(), 5), dtype=np.uint64)
-            n_of = np.ones(len(v), np.int64)
-            raw = c.as_py()
-            if raw:
-                n_of[unplanes(raw[: len(raw) // 2], 4).astype(np.int64)] = unplanes(raw[len(raw) // 2 :], 4).astype(np.int64)
-            values.append(v)
-            counts.append(n_of)
-        v, c = np.concatenate(values), np.concatenate(counts)
-        order = np.argsort(v)
-        v = v[order]
-        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        total = np.add.reduceat(c[order], first)
-        keep = total >= frequent
-        return pa.table({"token": pa.array((v[first][keep] + base).astype(np.int64)), "df": pa.array(total[keep])})
-
-    counted = docs.select("text").mapInArrow(gather, "g int, v binary, c binary").repartition(n, "g").groupBy("g").applyInArrow(count, "token long, df long")
-    rows = counted.orderBy(F.desc("df"), "token").limit(most).toArrow()
-    return Frequent(rows.column("token").to_numpy().astype(np.uint64), rows.column("df").to_numpy())
-
-
-def _texts(batches):
+    def solve(g, held):
+        tokens, owner, flush = [], [], []
+        for i, (_, raw) in enumerate(held):
+            n = len(raw) // 7
+            tokens.append(np.cumsum(unplanes(raw[: 5 * n], 5), dtype=np.uint64))
+            owner.append(unplanes(raw[5 * n :], 2))
+            flush.append(np.full(n, i, np.int64))
+        tokens, owner, flush = np.concatenate(tokens), np.concatenate(owner), np.concatenate(flush)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner, flush = tokens[order], owner[order], flush[order]
+        start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        df = np.diff(np.append(start, len(tokens)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        tokens, owner, flush, df = tokens[keep], owner[keep], flush[keep], np.minimum(df[keep], 65535).astype(np.uint64)
+        order = np.argsort(flush, kind="stable")
+        tokens, owner, flush, df = tokens[order], owner[order], flush[order], df[order]
+        cuts = np.searchsorted(flush, np.arange(len(held) + 1))
+        base = np.uint64(g) << np.uint64(low)
+        rows = []
+        for i in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[i], cuts[i + 1])
+            rows.append((g, held[i][0], TOKENS, planes(tokens[at] + base, 6) + planes(owner[at], 2) + planes(df[at], 2)))
+        yield from _rows(rows)
+
+    now, held = None, []
+    for batch in batches:
+        for g, f, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if g != now and held:
+                yield from solve(now, held)
+                held = []
+            now = g
+            if kind == MEMBERS:
+                yield from _rows([(g, f, kind, raw)])
+            else:
+                held.append((f, raw))
+    if held:
+        yield from solve(now, held)
+
+
+_SETS = "doc_id long, cls long, n long, whole binary"
+
+
+def _sets(batches, percent: int):
+    """Of rows in order of f, members first: one row per member, with its shareable set if that is large enough to be similar to another.
+
+    Of the members of one class only the first has the set. whole: tokens in the global order, then frequencies.
+    """
+
+    def solve(members, blobs):
+        rows = []
+        sets = {}
+        if blobs:
+            tokens, owner, df = [], [], []
+            for raw in blobs:
+                k = len(raw) // 10
+                tokens.append(unplanes(raw[: 6 * k], 6))
+                owner.append(unplanes(raw[6 * k : 8 * k], 2))
+                df.append(unplanes(raw[8 * k :], 2))
+            tokens, owner, df = np.concatenate(tokens), np.concatenate(owner).astype(np.int64), np.concatenate(df)
+            count = np.bincount(owner)
+            size = np.zeros(len(count), np.int64)
+            for m in members:
+                if 0 <= m[4] < len(size):
+                    size[m[4]] = m[3]
+            enough = count * 100 >= percent * size
+            keep = enough[owner]
+            tokens, owner, df = tokens[keep], owner[keep], df[keep]
+            order = np.lexsort((tokens, df, owner))
+            tokens, owner, df = tokens[order], owner[order], df[order]
+            start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
+            for a, b in zip(start, np.append(start[1:], len(owner))):
+                sets[int(owner[a])] = planes(tokens[a:b], 6) + planes(df[a:b], 2)
+        for null, i, name, n, number in members.tolist():
+            rows.append((None if null else i, name, n, sets.pop(number, None)))
+        for at in range(0, len(rows), 1024):
+            part = rows[at : at + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "cls", "n", "whole"])
+
+    now, members, blobs = None, np.empty((0, 5), np.int64), []
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield (batch.slice(at, 256).column(0).to_pylist(),)
+        for f, kind, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            if f != now and now is not None:
+                yield from solve(members, blobs)
+                members, blobs = np.empty((0, 5), np.int64), []
+            now = f
+            if kind == MEMBERS:
+                members = np.frombuffer(raw, np.int64).reshape(-1, 5)
+            else:
+                blobs.append(raw)
+    if now is not None:
+        yield from solve(members, blobs)
 
 
-MEMBER, MEMBER_NULL, PAIR = 0, 1, 2
+def unpack(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(whole) // 8
+    return unplanes(whole[: 6 * k], 6), unplanes(whole[6 * k :], 2)
 
 
-def _index(docs: DataFrame, frequent, width: int, percent: int, n: int) -> DataFrame:
-    """(p, blob) rows: for every partition of keys the documents' entries; p >= n: member lists."""
+def _index(batches, percent: int, frequent: int, n: int):
+    """(p, blob) rows: for every partition of keys the sets' entries."""
 
     def blob(entries: list[tuple[int, int, np.ndarray, np.ndarray]]):
         keys = np.concatenate([e[2] for e in entries])
@@ -223,49 +288,29 @@ def _index(docs: DataFrame, frequent, width: int, percent: int, n: int) -> DataF
         sizes = np.array([e[1] for e in entries], np.uint64)
         firsts = np.stack([e[3] for e in entries])
         cuts = np.searchsorted(where, np.arange(n + 1))
+        ps, blobs = [], []
         for p in np.flatnonzero(np.diff(cuts)):
             o = owner[cuts[p] : cuts[p + 1]]
             starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
             d = o[starts]
             counts = np.diff(np.append(starts, len(o))).astype(np.uint64)
             head = np.array([len(d), len(o)], np.uint64).tobytes()
-            yield int(p), head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d, 0], 6) + planes(firsts[d, 1], 6) + planes(keys[cuts[p] : cuts[p + 1]], 6)
-
-    def out(rows):
-        for at in range(0, len(rows), 16):
-            part = rows[at : at + 16]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["p", "blob"])
-
-    def run(batches):
-        told = frequent.value
-        entries, size, seen = [], 0, set()
-        members: list[tuple[int, int, int, int]] = []
-        turn = 0
-        for ids, texts in text_rows(batches):
-            for i, t in zip(ids, texts):
-                s = shingles(t, width)
-                name = class_of(s) if len(s) else 0
-                members.append((MEMBER_NULL if i is None else MEMBER, i or 0, name, len(s)))
-                if len(s) and name not in seen:
-                    seen.add(name)
-                    keys, first = signatures(s, told, percent)
-                    entries.append((name, len(s), keys, first))
-                    size += len(keys)
+            ps.append(int(p))
+            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d, 0], 6) + planes(firsts[d, 1], 6) + planes(keys[cuts[p] : cuts[p + 1]], 6))
+        for at in range(0, len(ps), 32):
+            yield pa.RecordBatch.from_arrays([pa.array(ps[at : at + 32], pa.int32()), pa.array(blobs[at : at + 32], pa.binary())], ["p", "blob"])
+
+    entries, size = [], 0
+    for batch in batches:
+        for name, m, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            keys, first = signatures(m, *unpack(whole), percent, frequent)
+            entries.append((name, m, keys, first))
+            size += len(keys)
             if size > 2_000_000:
-                yield from out(list(blob(entries)))
+                yield from blob(entries)
                 entries, size = [], 0
-            if len(seen) > 500_000:
-                seen = set()
-            if len(members) > 20_000:
-                yield from out([(n + (ids[0] or 0) % n if ids else n, np.array(members, np.int64).tobytes())])
-                members = []
-                turn += 1
-        if entries:
-            yield from out(list(blob(entries)))
-        if members:
-            yield from out([(n + members[0][1] % n, np.array(members, np.int64).tobytes())])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "p int, blob binary")
+    if size:
+        yield from blob(entries)
 
 
 def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
@@ -309,15 +354,12 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
                     yield keep(members[a], members[b], np.full(len(a), key[r]))
 
 
-def _meet(batches, n: int, percent: int):
-    """Of rows in order of p: members pass through as rows, entries of one p are joined."""
-    names = ["kind", "a", "b", "n", "block"]
-    types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+def _meet(batches, percent: int):
+    """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, block)."""
 
-    def emit(kind, a, b, size, block):
-        for at in range(0, len(a), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x[cut]), t) for x, t in zip((kind, a, b, size, block), types)], names)
+    def emit(*columns):
+        for at in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns], ["a", "b", "block"])
 
     def solve(blobs):
         cls, size, first, owner, key = [], [], [], [], []
@@ -350,7 +392,7 @@ def _meet(batches, n: int, percent: int):
             both = np.unique(np.concatenate(held))
             a, b = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
             a, b = a.astype(np.int64), b.astype(np.int64)
-            return emit(np.full(len(a), PAIR), u[a].astype(np.int64), u[b].astype(np.int64), np.zeros(len(a)), first[a, 0].astype(np.int64))
+            return emit(u[a], u[b], first[a, 0])
 
         for a, b in _candidates(key, doc, size, first, percent):
             if len(a):
@@ -365,10 +407,6 @@ def _meet(batches, n: int, percent: int):
     now, blobs = None, []
     for batch in batches:
         for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if p >= n:
-                m = np.frombuffer(raw, np.int64).reshape(-1, 4)
-                yield from emit(m[:, 0], m[:, 1], m[:, 2], m[:, 3], np.zeros(len(m)))
-                continue
             if p != now and blobs:
                 yield from solve(blobs)
                 blobs = []
@@ -384,71 +422,60 @@ def _verify(batches, percent: int):
     for batch in batches:
         a_out, b_out = [], []
         rows = batch.to_pydict()
-        for block, i, j, kind, a, b, raw in zip(rows["block"], rows["i"], rows["j"], rows["kind"], rows["a"], rows["b"], rows["tokens"]):
+        for block, i, j, kind, a, b, raw in zip(rows["block"], rows["i"], rows["j"], rows["kind"], rows["a"], rows["b"], rows["whole"]):
             if (block, i, j) != now:
                 now, sets = (block, i, j), {}
             if kind == 0:
-                sets[a] = np.cumsum(unplanes(raw, 6), dtype=np.uint64)
+                sets[a] = (b, np.sort(unpack(raw)[0]))
                 continue
-            x, y = sets[a], sets[b]
+            (nx, x), (ny, y) = sets[a], sets[b]
             if len(x) > len(y):
                 x, y = y, x
+            if not len(x):
+                continue
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both = int((y[at] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
+            if 100 * both >= percent * (nx + ny - both):
                 a_out.append(a)
                 b_out.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
-def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, cls, n_shingles of every row; links has the pairs (a, b) of similar classes."""
-    spark = docs.sparkSession
     n = partitions(docs)
-    told = spark.sparkContext.broadcast(frequent_tokens(docs, width, frequent, most))
-    index = _index(docs, told, width, percent, n).repartition(n, F.col("p") % n).sortWithinPartitions("p")
-    met = checkpointed(index.mapInArrow(lambda b: _meet(b, n, percent), "kind byte, a long, b long, n long, block long"))
-    members = met.where(f"kind <> {PAIR}").select(F.when(F.col("kind") == MEMBER, F.col("a")).alias("doc_id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"))
-    pairs = met.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.min("block").alias("block"))
+    bits = _bits(n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scan(b, width, bits), _ROW)
+    rows = rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _frequencies(b, bits), _ROW)
+    rows = rows.repartition(n, "f").sortWithinPartitions("f", F.desc("kind")).mapInArrow(lambda b: _sets(b, percent), _SETS)
+    found = checkpointed(rows)
+    members = found.select("doc_id", "cls", F.col("n").alias("n_shingles"))
+    # a class may come from several flushes, with the same set
+    sets = found.where("whole is not null").select("cls", "n", "whole")
+    index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
+    met = index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "a long, b long, block long")
+    pairs = checkpointed(met.groupBy("a", "b").agg(F.min("block").alias("block")))
     # a block with very many pairs is cut into a grid by both sides
     hot = pairs.groupBy("block").agg(F.count("*").alias("c")).where(f"c > {_HOT_BLOCK}").select(F.col("block").alias("hot"), F.ceil(F.sqrt(F.col("c") / _HOT_BLOCK)).alias("side"))
     side = F.coalesce(F.col("side"), F.lit(1))
-    pairs = checkpointed(pairs.join(hot, F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j")))
+    pairs = pairs.join(hot, F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j"))
     needed = pairs.select("block", "i", "j", F.col("a").alias("cls")).union(pairs.select("block", "i", "j", F.col("b").alias("cls"))).distinct()
-    gate = spark.sparkContext.broadcast(IdFilter(needed.select("cls").distinct(), "cls"))
-
-    def sets(batches):
-        seen = set()
-        for (texts,) in _texts(batches):
-            names, blobs = [], []
-            for t in texts:
-                s = shingles(t, width)
-                if len(s) and (name := class_of(s)) not in seen and gate.value.maybe(np.array([name]))[0]:
-                    seen.add(name)
-                    names.append(name)
-                    blobs.append(planes(np.diff(s, prepend=np.uint64(0)), 6))
-            if len(seen) > 500_000:
-                seen = set()
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["cls", "tokens"])
-
-    whole = docs.select("text").mapInArrow(sets, "cls long, tokens binary")
-    zero, no = F.lit(0), F.lit(None)
-    rows = needed.join(whole, "cls").select("block", "i", "j", zero.alias("kind"), F.col("cls").alias("a"), no.cast("long").alias("b"), "tokens")
-    rows = rows.unionByName(pairs.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("tokens")))
+    no = F.lit(None)
+    rows = needed.join(sets, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
+    rows = rows.unionByName(pairs.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
     links = rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
     return members, checkpointed(links)
 
 
-def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_similar, component_id.
 
     Documents without words (null, empty, blank) are linked with nothing. Rows with equal sets are
     linked with each other. Repeated ids are separate rows; a null id takes part in counts, but names no
     component (it stays null unless the group has another id). An empty table gives no rows.
     """
-    members, links = similar_classes(docs, percent, width, frequent, most)
+    members, links = similar_classes(docs, percent, width, frequent)
     classes = members.where("n_shingles > 0").groupBy("cls").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
     classes = checkpointed(classes)
     both = links.select("a", "b").union(links.select("b", "a"))

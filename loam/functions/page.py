@@ -6,8 +6,9 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
-SCHEMA = "title string, meta_description string, content string, content_length long, headings array<string>, links array<string>, word_count long"
+SCHEMA = ty.StructType([ty.StructField(n, t) for n, t in (("title", ty.StringType()), ("meta_description", ty.StringType()), ("content", ty.StringType()), ("content_length", ty.LongType()), ("headings", ty.ArrayType(ty.StringType())), ("links", ty.ArrayType(ty.StringType())), ("word_count", ty.LongType()))])
 _SKIPPED = frozenset("script style nav header footer aside iframe noscript svg canvas template".split())
 _ROLES = frozenset("navigation banner contentinfo complementary".split())
 _CLASS_PARTS = ("nav", "menu", "sidebar", "footer", "header", "advert", "ads", "promo", "breadcrumb", "cookie", "modal", "popup")
@@ -118,7 +119,7 @@ def parse_page_udf(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(h) for h in html], columns=["title", "meta_description", "content", "content_length", "headings", "links", "word_count"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ty.ArrayType(ty.StringType()))
 def hrefs_udf(html: pd.Series) -> pd.Series:
     """All hrefs of anchors, in document order."""
     return pd.Series([[e.attrs["href"] for e in parse_tree(h or "").elements() if e.tag == "a" and "href" in e.attrs] for h in html])

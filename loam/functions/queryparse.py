@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as ty
 from pyspark.sql.functions import udtf
 
 REQUIRED, OPTIONAL, EXCLUDED, PHRASE = "required", "optional", "excluded", "phrase"
@@ -62,7 +63,7 @@ def parse_query(query: str) -> list[Term]:
     return found
 
 
-@udtf(returnType="pos int, kind string, text string")
+@udtf(returnType=ty.StructType([ty.StructField("pos", ty.IntegerType()), ty.StructField("kind", ty.StringType()), ty.StructField("text", ty.StringType())]))
 class ParseQuery:
     """Table function: one row per term of a query."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 Group = tuple[str, list[str], list[str]]  # agent, allowed, disallowed
 
@@ -45,7 +46,7 @@ def is_allowed(groups: list[Group], path: str, agent: str) -> bool:
     return True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(ty.BooleanType())
 def robots_allowed(body: pd.Series, path: pd.Series, agent: pd.Series) -> pd.Series:
     """A missing robots file allows everything."""
     parsed = {b: parse_robots(b) for b in body.dropna().unique()}

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 _V = "aeiouy"
 _DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -97,6 +98,6 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ty.StringType())
 def stem_udf(s: pd.Series) -> pd.Series:
     return s.map(stem, na_action="ignore")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 PLANES, SEED = 14, 5134245
 
@@ -37,13 +38,13 @@ def signature(v: Column, planes: np.ndarray) -> Column:
     return total
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(ty.BinaryType())
 def to_half(v: pd.Series) -> pd.Series:
     """Little-endian float16 of each component."""
     return v.map(lambda x: np.asarray(x, "<f4").astype("<f2").tobytes(), na_action="ignore")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ty.ArrayType(ty.FloatType()))
 def from_half(v: pd.Series) -> pd.Series:
     return v.map(lambda x: np.frombuffer(x, "<f2").astype("<f4").tolist(), na_action="ignore")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,12 +19,20 @@ DOCUMENT = "doc_id long, url string, title string, word_count long, content stri
 class Index:
     documents: DataFrame
     postings: DataFrame
+    _totals: tuple[int, float] | None = field(default=None, repr=False)
 
     def stats(self) -> DataFrame:
         """One row: live documents, distinct terms, mean body length of live documents that have one."""
         docs = self.documents.where(~F.col("deleted")).agg(F.count("*").alias("total_docs"), F.coalesce(F.avg(F.when(F.col("doc_length") > 0, F.col("doc_length"))), F.lit(0.0)).alias("avg_doc_length"))
         return docs.crossJoin(self.postings.agg(F.count_distinct("term").alias("num_terms"))).select("total_docs", "num_terms", "avg_doc_length")
 
+    def totals(self) -> tuple[int, float]:
+        """(live documents, mean body length), kept once known."""
+        if self._totals is None:
+            r = self.documents.where(~F.col("deleted")).agg(F.count("*"), F.avg(F.when(F.col("doc_length") > 0, F.col("doc_length")))).first()
+            self._totals = (r[0], r[1] or 0.0)
+        return self._totals
+
     def terms(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -60,8 +68,8 @@ def prepare(pages: DataFrame, now: Column | None = None) -> DataFrame:
 
 def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
     """(term, doc_id, title, headings, url, body): how often each field of a document has the term. One shuffle, combined on the map side."""
-    field = lambda name, c: F.transform(T.tokens(c), lambda w: F.struct(w.alias("term"), F.lit(name).alias("field")))
-    every = F.concat(field("title", F.col("title")), field("headings", F.array_join("headings", " ")), field("url", F.col("url")), field("body", F.col("content")))
+    of_field = lambda name, c: F.transform(T.tokens(c), lambda w: F.struct(w.alias("term"), F.lit(name).alias("field")))
+    every = F.concat(of_field("title", F.col("title")), of_field("headings", F.array_join("headings", " ")), of_field("url", F.col("url")), of_field("body", F.col("content")))
     rows = docs.select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.term", "t.field")
     if stem:
         rows = T.stemmed(rows, "term")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.queryparse import EXCLUDED, OPTIONAL, REQUIRED, parse_query
+from ..functions.stem import stem as stem_word
 from .index import Index
 
 K1, B, CAP = 1.5, 0.75, 20
@@ -14,13 +19,14 @@ BOOSTS = {"title": 3.0, "headings": 2.0, "url": 1.5, "body": 1.0}
 FUZZY_TERMS, FUZZY_DISTANCE, FUZZY_PENALTY = 5, 2, 0.5
 
 
-def query_tokens(index: Index, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
+def query_tokens(spark: SparkSession, queries: list[tuple[int, str]], stem: bool = False) -> list[tuple[int, str, str]]:
     """(qid, kind, token) per token occurrence: parsed on the driver, analysed by the same expressions as documents."""
-    spark = index.postings.sparkSession
     rows = [(q, i, kind, text) for q, s in queries for i, (kind, text) in enumerate(parse_query(s)) if kind in (REQUIRED, OPTIONAL, EXCLUDED)]
-    terms = spark.createDataFrame(rows, "qid int, pos int, kind string, text string")
-    tokens = terms.select("qid", "pos", "kind", F.posexplode(T.tokens(F.col("text"))).alias("part", "token"))
-    return T.stemmed(tokens, "token") if stem else tokens
+    if not rows:
+        return []
+    terms = spark.createDataFrame(pd.DataFrame(rows, columns=["qid", "pos", "kind", "text"]))
+    tokens = [(r.qid, r.kind, t) for r in terms.select("qid", "kind", T.tokens(F.col("text")).alias("t")).collect() for t in r.t]
+    return [(q, k, stem_word(t)) for q, k, t in tokens] if stem else tokens
 
 
 def frequency() -> Column:
@@ -31,10 +37,6 @@ def frequency() -> Column:
     return total
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.ln((n - df + 0.5) / (df + 0.5) + 1)
-
-
 def bm25(idf_: Column, tf: Column, length: Column, average: Column, k1: float = K1, b: float = B) -> Column:
     """With no average length, lengths don't count."""
     return idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.coalesce(F.try_divide(length, average), F.lit(0.0))))
@@ -63,33 +65,44 @@ def search(index: Index, queries: list[tuple[int, str]], stem: bool = False, fuz
     hit falls back on near terms, if it has four bytes or more. Documents must hold every required token that
     the index knows, and no excluded one.
     """
-    tokens = query_tokens(index, queries, stem).cache()
-    wanted = F.broadcast(tokens.select(F.col("token").alias("term")).distinct())
-    # one pass over the postings of query tokens: they are few terms, found by pushed-down joins
-    hits = index.postings.join(wanted, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = index.documents.where(~F.col("deleted")).agg(F.count("*").alias("total"), F.coalesce(F.avg(F.when(F.col("doc_length") > 0, F.col("doc_length"))), F.lit(0.0)).alias("average"))
+    spark = index.postings.sparkSession
+    tokens = query_tokens(spark, queries, stem)
+    words = sorted({t for _, _, t in tokens})
+    # facts about the query's few words come to the driver, so that the main plan has literals only
+    df = dict(index.postings.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*")).collect()) if words else {}
+    times, required = Counter(), set()
+    for q, kind, t in tokens:
+        if kind != EXCLUDED:
+            times[q, t] += 1
+            if kind == REQUIRED:
+                required.add((q, t))
+    near: dict[str, list[tuple[str, int]]] = {}
+    missing = sorted({t for _, t in times if t not in df and len(t.encode()) >= 4})
+    if fuzzy and missing:
+        for r in fuzzy_terms(spark.createDataFrame([(t,) for t in missing], "token string"), index.terms()).collect():
+            near.setdefault(r.token, []).append((r.term, r.distance))
+        terms = sorted({t for ts in near.values() for t, _ in ts} - df.keys())
+        df.update(index.postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*")).collect() if terms else [])
+    total, average = index.totals()
+    probes = []
+    for (q, t), n in sorted(times.items()):
+        for term, distance in [(t, 0)] if t in df and t not in near else near.get(t, []):
+            weight = n * math.log((total - df[term] + 0.5) / (df[term] + 0.5) + 1)
+            need = int(distance == 0 and (q, t) in required)
+            probes.append((q, term, weight * FUZZY_PENALTY**distance, distance == 0, need))
+    needed = Counter(q for q, _, _, _, need in probes if need)
+    bans = sorted({(q, t) for q, kind, t in tokens if kind == EXCLUDED and t in df})
+    rows = [(*p, needed[p[0]]) for p in probes] + [(q, t, None, False, 0, 0) for q, t in bans]
+    schema = "qid int, term string, weight double, exact boolean, need int, needed int"
+    table = spark.createDataFrame(rows, schema)
+    hits = index.postings.where(F.col("term").isin(sorted({r[1] for r in rows}))).join(F.broadcast(table), "term")
     facts = index.documents.where(~F.col("deleted")).select("doc_id", "doc_length", "pagerank")
-    scoring = tokens.where(F.col("kind") != EXCLUDED)
-    weighted = scoring.groupBy("qid", "token").agg(F.count("*").alias("times"), F.max((F.col("kind") == REQUIRED).cast("int")).alias("required"))
-    exact = weighted.join(df, weighted["token"] == df["term"]).select("qid", "token", F.col("token").alias("term"), "times", "required", "df", F.lit(0).alias("distance"))
-    probes = exact
-    source = hits
-    if fuzzy:
-        missing = weighted.join(df, weighted["token"] == df["term"], "left_anti")
-        near = fuzzy_terms(missing, index.terms())
-        near_df = index.postings.join(F.broadcast(near.select("term").distinct()), "term")
-        counts = near_df.groupBy("term").agg(F.count("*").alias("df"))
-        probes = probes.unionByName(missing.join(near, "token").join(counts, "term").select("qid", "token", "term", "times", F.lit(0).alias("required"), "df", "distance"))
-        source = index.postings.join(F.broadcast(probes.select("term").distinct()), "term")
-    scored = source.join(F.broadcast(probes), "term").join(facts, "doc_id").crossJoin(F.broadcast(stats))
-    score = bm25(idf(F.col("total"), F.col("df")), frequency(), F.col("doc_length"), F.col("average"), k1, b) * F.col("times")
-    score = score * F.when(F.col("distance") == 0, rank_boost(F.col("pagerank"))).otherwise(F.pow(F.lit(FUZZY_PENALTY), F.col("distance")))
-    per_doc = scored.groupBy("qid", "doc_id").agg(F.sum(score).alias("score"), F.count_distinct(F.when((F.col("required") == 1) & (F.col("distance") == 0), F.col("token"))).alias("held"))
-    needed = exact.groupBy("qid").agg(F.sum("required").alias("needed"))
-    kept = per_doc.join(F.broadcast(needed), "qid", "left").where(F.col("held") >= F.coalesce("needed", F.lit(0)))
-    banned = hits.join(F.broadcast(tokens.where(F.col("kind") == EXCLUDED).select("qid", F.col("token").alias("term")).distinct()), "term").select("qid", "doc_id").distinct()
-    kept = kept.join(banned, ["qid", "doc_id"], "left_anti")
+    tf = frequency()
+    # what doesn't depend on the document's length is summed only after the join, so postings stay narrow until then
+    joined = hits.select("qid", "doc_id", "term", "weight", "exact", "need", "needed", tf.alias("tf")).join(facts, "doc_id")
+    score = bm25(F.col("weight"), F.col("tf"), F.col("doc_length"), F.lit(average), k1, b) * F.when(F.col("exact"), rank_boost(F.col("pagerank"))).otherwise(1.0)
+    per_doc = joined.groupBy("qid", "doc_id").agg(F.sum(score).alias("score"), F.sum("need").alias("held"), F.max("needed").alias("needed"), F.count_if(F.col("weight").isNull()).alias("banned"))
+    kept = per_doc.where((F.col("banned") == 0) & (F.col("held") >= F.col("needed")) & F.col("score").isNotNull())
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")))
     return ranked.where(F.col("rank") <= cap).select("qid", "doc_id", "score", "rank")
 

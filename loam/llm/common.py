@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers are used again, and keep what they don't return."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(df: DataFrame) -> int:
     """The session's shuffle width, which the caller sizes to the input."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

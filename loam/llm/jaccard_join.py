@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_sorted, mix64, partitions, planes, table, text_rows, unplanes, without_ids, word_hashes
+from .common import checkpointed, distinct_sorted, mix64, partitions, planes, release, table, text_rows, unplanes, without_ids, word_hashes
 from .graph import components
 
 PERCENT = 70
 FREQUENT = 32  # documents from which on a token counts as frequent
 ID_BITS = 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HOT_BLOCK = 500_000
+_UNIT = 500_000  # pairs that are verified together at most
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -113,7 +113,7 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCEN
 
 
 TOKENS, MEMBERS = 0, 1
-_FLUSH = 3_000_000  # tokens, or
+_FLUSH = 1_000_000  # tokens, or
 _FLUSH_DOCS = 30_000  # documents that a task gathers before it sends
 _ROW = "g int, f long, kind byte, blob binary"
 
@@ -170,6 +170,8 @@ def _scan(batches, width: int, bits: int):
             sets, members, size, number = [], [], 0, {}
     if members:
         yield from flush(sets, members)
+        sets, members = [], []
+    release()
 
 
 def _frequencies(batches, bits: int):
@@ -214,6 +216,7 @@ def _frequencies(batches, bits: int):
                 held.append((f, raw))
     if held:
         yield from solve(now, held)
+    release()
 
 
 _SETS = "doc_id long, cls long, n long, whole binary"
@@ -268,6 +271,7 @@ def _sets(batches, percent: int):
                 blobs.append(raw)
     if now is not None:
         yield from solve(members, blobs)
+    release()
 
 
 def unpack(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -311,6 +315,7 @@ def _index(batches, percent: int, frequent: int, n: int):
                 entries, size = [], 0
     if size:
         yield from blob(entries)
+    release()
 
 
 def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
@@ -355,11 +360,15 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
 
 
 def _meet(batches, percent: int):
-    """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, block)."""
+    """Of rows in order of p: the entries of one p are joined to candidate pairs, packed by unit of verification.
 
-    def emit(*columns):
-        for at in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns], ["a", "b", "block"])
+    Pairs whose first set leads with the same token form a unit; of very many, several.
+    """
+
+    def emit(rows):
+        for at in range(0, len(rows), 64):
+            part = rows[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["unit", "blob"])
 
     def solve(blobs):
         cls, size, first, owner, key = [], [], [], [], []
@@ -390,9 +399,18 @@ def _meet(batches, percent: int):
 
         def flush():
             both = np.unique(np.concatenate(held))
-            a, b = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-            a, b = a.astype(np.int64), b.astype(np.int64)
-            return emit(u[a], u[b], first[a, 0])
+            a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            order = np.argsort(first[a, 0], kind="stable")
+            a, b, block = a[order], b[order], first[a[order], 0]
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            rows = []
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                for at in range(x, y, _UNIT):
+                    end = min(at + _UNIT, y)
+                    names, places = np.unique(np.concatenate([u[a[at:end]], u[b[at:end]]]), return_inverse=True)
+                    unit = (mix64(block[at : at + 1] * _A + np.full(1, at - x, np.uint64) * _B + np.full(1, now, np.uint64)) >> np.uint64(1))[0]
+                    rows.append((int(unit), np.array([len(names)], np.uint64).tobytes() + names.astype(np.int64).tobytes() + planes(places.astype(np.uint64), 3)))
+            return emit(rows)
 
         for a, b in _candidates(key, doc, size, first, percent):
             if len(a):
@@ -414,32 +432,49 @@ def _meet(batches, percent: int):
             blobs.append(raw)
     if blobs:
         yield from solve(blobs)
+    release()
+
+
+def _unpair(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first, second): the pairs of a unit as places in its names."""
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    places = unplanes(raw[8 + 8 * n :], 3).astype(np.int64)
+    return np.frombuffer(raw, np.int64, n, 8), places[: len(places) // 2], places[len(places) // 2 :]
+
+
+def _needed(batches):
+    for batch in batches:
+        for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names = _unpair(raw)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), unit)), pa.array(names)], ["unit", "cls"])
 
 
 def _verify(batches, percent: int):
-    """Of rows in order of (block, kind): sets first, then the pairs to check."""
+    """Of rows in order of (unit, kind): sets first, then the pairs to check."""
     now, sets = None, {}
     for batch in batches:
-        a_out, b_out = [], []
-        rows = batch.to_pydict()
-        for block, i, j, kind, a, b, raw in zip(rows["block"], rows["i"], rows["j"], rows["kind"], rows["a"], rows["b"], rows["whole"]):
-            if (block, i, j) != now:
-                now, sets = (block, i, j), {}
+        for unit, kind, cls, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if unit != now:
+                now, sets = unit, {}
             if kind == 0:
-                sets[a] = (b, np.sort(unpack(raw)[0]))
-                continue
-            (nx, x), (ny, y) = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            if not len(x):
+                sets[cls] = (n, np.sort(unpack(raw)[0]))
                 continue
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if 100 * both >= percent * (nx + ny - both):
-                a_out.append(a)
-                b_out.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            names, first, second = _unpair(raw)
+            kept = []
+            for i, j in zip(first.tolist(), second.tolist()):
+                (nx, x), (ny, y) = sets[names[i]], sets[names[j]]
+                if len(x) > len(y):
+                    x, y = y, x
+                if not len(x):
+                    continue
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                if 100 * both >= percent * (nx + ny - both):
+                    kept.append((names[i], names[j]))
+            for at in range(0, len(kept), 50_000):
+                part = kept[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int64())], ["a", "b"])
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -454,17 +489,11 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     # a class may come from several flushes, with the same set
     sets = found.where("whole is not null").select("cls", "n", "whole")
     index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
-    met = index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "a long, b long, block long")
-    pairs = checkpointed(met.groupBy("a", "b").agg(F.min("block").alias("block")))
-    # a block with very many pairs is cut into a grid by both sides
-    hot = pairs.groupBy("block").agg(F.count("*").alias("c")).where(f"c > {_HOT_BLOCK}").select(F.col("block").alias("hot"), F.ceil(F.sqrt(F.col("c") / _HOT_BLOCK)).alias("side"))
-    side = F.coalesce(F.col("side"), F.lit(1))
-    pairs = pairs.join(hot, F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j"))
-    needed = pairs.select("block", "i", "j", F.col("a").alias("cls")).union(pairs.select("block", "i", "j", F.col("b").alias("cls"))).distinct()
-    no = F.lit(None)
-    rows = needed.join(sets, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
-    rows = rows.unionByName(pairs.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
-    links = rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
+    met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "unit long, blob binary"))
+    zero, one, no = F.lit(0).alias("kind"), F.lit(1).alias("kind"), F.lit(None).cast("long")
+    rows = met.mapInArrow(_needed, "unit long, cls long").distinct().join(sets, "cls").select("unit", zero, "cls", "n", "whole")
+    rows = rows.unionByName(met.select("unit", one, no.alias("cls"), no.alias("n"), F.col("blob").alias("whole")))
+    links = rows.repartition(n, "unit").sortWithinPartitions("unit", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct()
     return members, checkpointed(links)
 
 

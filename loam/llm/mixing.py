@@ -19,6 +19,7 @@ from .common import checkpointed
 FRAME = 1_000
 ALPHA = 0.9
 BLOCK_ROWS = 16
+MOST_BROADCAST = 100_000  # sources, of some 50 bytes each; beyond, documents are joined by shuffling
 
 
 def source_sizes(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, frame: int = FRAME) -> DataFrame:
@@ -131,6 +132,8 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, fra
     edge = rows.join(m, F.col("source").eqNullSafe(F.col("ms"))).where(F.col("nth_row") < F.col("lead")).groupBy("source").agg(F.max("doc_id").alias("last"))
     e = edge.select(F.col("source").alias("es"), "last")
     rule = more.join(e, F.col("source").eqNullSafe(F.col("es")), "left").select(F.col("source").alias("__s"), F.col("base").alias("__base"), F.col("last").alias("__last"))
+    if sizes.count() <= MOST_BROADCAST:
+        rule = F.broadcast(rule)
     times = F.col("__base") + F.coalesce(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) <= F.col("__last"), F.lit(False)).cast("long")
     joined = docs.join(rule, docs["source"].eqNullSafe(F.col("__s")))
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[docs[c] for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, checkpointed, distinct_sorted, mix64, partitions, planes, table, text_rows, unplanes, word_hashes
+from .common import IdFilter, checkpointed, distinct_sorted, mix64, partitions, planes, release, table, text_rows, unplanes, word_hashes
 from .graph import components
 
 REACH = 6
@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 RECALL = 0.95
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = (1 << 64) - 1
-_FLUSH = 400_000  # paragraphs that a task gathers before it sends
+_FLUSH = 200_000  # paragraphs that a task gathers before it sends
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
@@ -129,6 +129,8 @@ def _collide(batches, bands: int, rows: int, bits: int):
                 held_d, held_k, size = [], [], 0
     if size:
         yield from flush(held_d, held_k)
+        held_d, held_k = [], []
+    release()
 
 
 def _stars(batches, bits: int):
@@ -185,6 +187,7 @@ def _stars(batches, bits: int):
             blobs.append(raw)
     if blobs:
         yield from rows(now, blobs)
+    release()
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:

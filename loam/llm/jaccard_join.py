@@ -362,7 +362,7 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
 def _meet(batches, percent: int):
     """Of rows in order of p: the entries of one p are joined to candidate pairs, packed by unit of verification.
 
-    Pairs whose first set leads with the same token form a unit; of very many, several.
+    Pairs with the same least leading token form a unit, wherever they come up; of very many, several.
     """
 
     def emit(rows):
@@ -400,15 +400,16 @@ def _meet(batches, percent: int):
         def flush():
             both = np.unique(np.concatenate(held))
             a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            order = np.argsort(first[a, 0], kind="stable")
-            a, b, block = a[order], b[order], first[a[order], 0]
+            block = np.minimum(first[a, 0], first[b, 0])
+            order = np.argsort(block, kind="stable")
+            a, b, block = a[order], b[order], block[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
             rows = []
             for x, y in zip(cuts[:-1], cuts[1:]):
                 for at in range(x, y, _UNIT):
                     end = min(at + _UNIT, y)
                     names, places = np.unique(np.concatenate([u[a[at:end]], u[b[at:end]]]), return_inverse=True)
-                    unit = (mix64(block[at : at + 1] * _A + np.full(1, at - x, np.uint64) * _B + np.full(1, now, np.uint64)) >> np.uint64(1))[0]
+                    unit = (mix64(block[at : at + 1] * _A + np.full(1, at - x, np.uint64) * _B) >> np.uint64(1))[0]
                     rows.append((int(unit), np.array([len(names)], np.uint64).tobytes() + names.astype(np.int64).tobytes() + planes(places.astype(np.uint64), 3)))
             return emit(rows)
 

@@ -35,6 +35,7 @@ from .graph import components
 PERCENT = 70
 FREQUENT = 32  # documents from which on a token counts as frequent
 ID_BITS = 48
+LEADS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _UNIT = 500_000  # pairs that are verified together at most
 
@@ -79,7 +80,7 @@ def shared_needed(c: int, percent: int) -> int:
 
 
 def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, the first two rare tokens in the global order, or 0) of a set of n tokens.
+    """(index keys, the rare ones of least value, filled up with 0) of a set of n tokens.
 
     tokens, df: its shareable tokens in the global order; the n - len(tokens) others come before them.
     """
@@ -107,8 +108,9 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCEN
                 break
             u, v = tail[:-step][same], tail[step:][same]
             out.append(mix64(u * _A + v * _B + np.uint64(c)) >> np.uint64(64 - ID_BITS))
-    first = np.zeros(2, np.uint64)
-    first[: min(2, len(singles))] = singles[:2]
+    first = np.zeros(LEADS, np.uint64)
+    least = np.sort(singles)[:LEADS]
+    first[: len(least)] = least
     return np.concatenate(out), first
 
 
@@ -300,7 +302,7 @@ def _index(batches, percent: int, frequent: int, n: int):
             counts = np.diff(np.append(starts, len(o))).astype(np.uint64)
             head = np.array([len(d), len(o)], np.uint64).tobytes()
             ps.append(int(p))
-            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d, 0], 6) + planes(firsts[d, 1], 6) + planes(keys[cuts[p] : cuts[p + 1]], 6))
+            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + b"".join(planes(firsts[d, i], 6) for i in range(LEADS)) + planes(keys[cuts[p] : cuts[p + 1]], 6))
         for at in range(0, len(ps), 32):
             yield pa.RecordBatch.from_arrays([pa.array(ps[at : at + 32], pa.int32()), pa.array(blobs[at : at + 32], pa.binary())], ["p", "blob"])
 
@@ -319,10 +321,10 @@ def _index(batches, percent: int, frequent: int, n: int):
 
 
 def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
-    """Pairs of documents (a, b) that share a key, each under the first shared of their leading tokens.
+    """Pairs of documents (a, b) that share a key, each under the least shared of their leads, if they share any.
 
-    key, doc: entries in order of (key, doc) without repeats. A pair whose leading rare tokens meet is
-    left to the key of the first such token, as it surely comes up there. Sizes too far apart are dropped.
+    key, doc: entries in order of (key, doc) without repeats. A pair with common leads (the least of its indexed rare tokens) is
+    left to the least of them, under which it surely comes up. Sizes too far apart are dropped.
     """
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length = np.diff(start)
@@ -331,10 +333,13 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
         na, nb = size[a], size[b]
         ok = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
         a, b, k = a[ok], b[ok], k[ok]
-        a0, a1, b0, b1 = first[a, 0], first[a, 1], first[b, 0], first[b, 1]
-        z = np.uint64(0)
-        meet = np.where((a0 == b0) & (a0 > z), a0, np.where((a1 == b0) & (a1 > z), a1, np.where((a0 == b1) & (a0 > z), a0, np.where((a1 == b1) & (a1 > z), a1, z))))
-        ok = (meet == z) | (meet == k)
+        none = np.uint64((1 << 64) - 1)
+        x, y = first[a], first[b]
+        meet = np.full(len(a), none)
+        for i in range(LEADS):
+            for j in range(LEADS):
+                meet = np.where((x[:, i] == y[:, j]) & (x[:, i] > 0), np.minimum(meet, x[:, i]), meet)
+        ok = (meet == none) | (meet == k)
         return a[ok], b[ok]
 
     for m in np.unique(length):
@@ -377,14 +382,14 @@ def _meet(batches, percent: int):
             d, e = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
             at = 16
             got = []
-            for w, k in ((8, d), (4, d), (4, d), (6, d), (6, d), (6, e)):
+            for w, k in ((8, d), (4, d), (4, d), *[(6, d)] * LEADS, (6, e)):
                 got.append(unplanes(raw[at : at + w * k], w))
                 at += w * k
             cls.append(got[0])
             size.append(got[1])
-            first.append(np.stack([got[3], got[4]], 1))
+            first.append(np.stack(got[3 : 3 + LEADS], 1))
             owner.append(np.repeat(np.arange(docs, docs + d), got[2].astype(np.int64)))
-            key.append(got[5])
+            key.append(got[-1])
             docs += d
         cls, size, first = np.concatenate(cls), np.concatenate(size).astype(np.int64), np.concatenate(first)
         owner, key = np.concatenate(owner), np.concatenate(key)

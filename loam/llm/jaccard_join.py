@@ -221,13 +221,13 @@ def _frequencies(batches, bits: int):
     release()
 
 
-_SETS = "doc_id long, cls long, n long, whole binary"
+_SETS = "doc_id long, cls long, n long, whole binary, df binary"
 
 
 def _sets(batches, percent: int):
     """Of rows in order of f, members first: one row per member, with its shareable set if that is large enough to be similar to another.
 
-    Of the members of one class only the first has the set. whole: tokens in the global order, then frequencies.
+    Of the members of one class only the first has the set. whole: tokens in the global order; df: their frequencies.
     """
 
     def solve(members, blobs):
@@ -253,12 +253,12 @@ def _sets(batches, percent: int):
             tokens, owner, df = tokens[order], owner[order], df[order]
             start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
             for a, b in zip(start, np.append(start[1:], len(owner))):
-                sets[int(owner[a])] = planes(tokens[a:b], 6) + planes(df[a:b], 2)
+                sets[int(owner[a])] = (planes(tokens[a:b], 6), planes(df[a:b], 2))
         for null, i, name, n, number in members.tolist():
-            rows.append((None if null else i, name, n, sets.pop(number, None)))
+            rows.append((None if null else i, name, n, *sets.pop(number, (None, None))))
         for at in range(0, len(rows), 1024):
             part = rows[at : at + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "cls", "n", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "cls", "n", "whole", "df"])
 
     now, members, blobs = None, np.empty((0, 5), np.int64), []
     for batch in batches:
@@ -276,11 +276,6 @@ def _sets(batches, percent: int):
     release()
 
 
-def unpack(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = len(whole) // 8
-    return unplanes(whole[: 6 * k], 6), unplanes(whole[6 * k :], 2)
-
-
 def _index(batches, percent: int, frequent: int, n: int):
     """(p, blob) rows: for every partition of keys the sets' entries."""
 
@@ -308,8 +303,8 @@ def _index(batches, percent: int, frequent: int, n: int):
 
     entries, size = [], 0
     for batch in batches:
-        for name, m, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keys, first = signatures(m, *unpack(whole), percent, frequent)
+        for name, m, whole, df in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            keys, first = signatures(m, unplanes(whole, 6), unplanes(df, 2), percent, frequent)
             entries.append((name, m, keys, first))
             size += len(keys)
             if size > 2_000_000:
@@ -340,7 +335,7 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
             for j in range(LEADS):
                 meet = np.where((x[:, i] == y[:, j]) & (x[:, i] > 0), np.minimum(meet, x[:, i]), meet)
         ok = (meet == none) | (meet == k)
-        return a[ok], b[ok]
+        return a[ok], b[ok], np.where(meet == none, np.minimum(x[:, 0], y[:, 0]), meet)[ok]
 
     for m in np.unique(length):
         if m < 2:
@@ -367,7 +362,8 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
 def _meet(batches, percent: int):
     """Of rows in order of p: the entries of one p are joined to candidate pairs, packed by unit of verification.
 
-    Pairs with the same least leading token form a unit, wherever they come up; of very many, several.
+    Pairs that meet under the same lead form a unit, so a set is needed in few; pairs without a common lead
+    go by the least lead of both. Very many pairs form several units.
     """
 
     def emit(rows):
@@ -403,11 +399,12 @@ def _meet(batches, percent: int):
         held, count = [], 0
 
         def flush():
-            both = np.unique(np.concatenate(held))
+            block, both = np.concatenate(held, 1)
+            order = np.lexsort((both, block))
+            block, both = block[order], both[order]
+            new = np.concatenate(([True], (block[1:] != block[:-1]) | (both[1:] != both[:-1])))
+            block, both = block[new], both[new]
             a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            block = np.minimum(first[a, 0], first[b, 0])
-            order = np.argsort(block, kind="stable")
-            a, b, block = a[order], b[order], block[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
             rows = []
             for x, y in zip(cuts[:-1], cuts[1:]):
@@ -418,9 +415,9 @@ def _meet(batches, percent: int):
                     rows.append((int(unit), np.array([len(names)], np.uint64).tobytes() + names.astype(np.int64).tobytes() + planes(places.astype(np.uint64), 3)))
             return emit(rows)
 
-        for a, b in _candidates(key, doc, size, first, percent):
+        for a, b, block in _candidates(key, doc, size, first, percent):
             if len(a):
-                held.append(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+                held.append(np.stack([block, a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)]))
                 count += len(a)
                 if count > 3_000_000:
                     yield from flush()
@@ -463,7 +460,7 @@ def _verify(batches, percent: int):
             if unit != now:
                 now, sets = unit, {}
             if kind == 0:
-                sets[cls] = (n, np.sort(unpack(raw)[0]))
+                sets[cls] = (n, np.sort(unplanes(raw, 6)))
                 continue
             names, first, second = _unpair(raw)
             kept = []
@@ -493,11 +490,11 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     found = checkpointed(rows)
     members = found.select("doc_id", "cls", F.col("n").alias("n_shingles"))
     # a class may come from several flushes, with the same set
-    sets = found.where("whole is not null").select("cls", "n", "whole")
+    sets = found.where("whole is not null").select("cls", "n", "whole", "df")
     index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
     met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "unit long, blob binary"))
     zero, one, no = F.lit(0).alias("kind"), F.lit(1).alias("kind"), F.lit(None).cast("long")
-    rows = met.mapInArrow(_needed, "unit long, cls long").distinct().join(sets, "cls").select("unit", zero, "cls", "n", "whole")
+    rows = met.mapInArrow(_needed, "unit long, cls long").distinct().join(sets.select("cls", "n", "whole"), "cls").select("unit", zero, "cls", "n", "whole")
     rows = rows.unionByName(met.select("unit", one, no.alias("cls"), no.alias("n"), F.col("blob").alias("whole")))
     links = rows.repartition(n, "unit").sortWithinPartitions("unit", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct()
     return members, checkpointed(links)

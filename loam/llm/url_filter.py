@@ -31,7 +31,7 @@ COMMON = (
     "example com net org www m en de fr es html index search user item list view go get all one two top"
 ).split()
 WORDS = re.compile(r"[^\W\d_]+|\d+")
-LABELS_KEPT = frozenset("www m blog com net org example".split())
+NEUTRAL = frozenset("www m blog com net org example en de fr es html index".split())  # parts of most hosts and paths: no evidence
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -106,13 +106,13 @@ def train(hosts: list[tuple[str, str, int]]) -> UrlModel:
     unigram = {w: math.log(c / total) for w, c in counts.items() if c >= 40}
     model = UrlModel(unigram, math.log(0.5 / total), {}, 0.0)
     trigger = frozenset(TRIGGERS)
-    seen = {True: Counter({w: 4 for w in TRIGGERS}), False: Counter({w: 4 for w in COMMON})}
+    seen = {True: Counter({w: 4 for w in TRIGGERS}), False: Counter({w: 4 for w in COMMON if w not in NEUTRAL})}
     sites = {True: 1.0, False: 3.0}
     for host, path, n in hosts:
         words = model.tokens(host, path)
         bad = any(w in trigger for w in words)
         sites[bad] += 1
-        seen[bad].update(w for w in words if w not in LABELS_KEPT)
+        seen[bad].update(w for w in words if w not in NEUTRAL)
     vocabulary = seen[True].keys() | seen[False].keys()
     sums = {k: sum(c.values()) + len(vocabulary) for k, c in seen.items()}
     model.log_odds = {w: math.log((seen[True][w] + 1) / sums[True]) - math.log((seen[False][w] + 1) / sums[False]) for w in vocabulary}

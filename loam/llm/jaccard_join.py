@@ -35,9 +35,8 @@ from .graph import components
 PERCENT = 70
 FREQUENT = 32  # documents from which on a token counts as frequent
 ID_BITS = 48
-LEADS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_UNIT = 500_000  # pairs that are verified together at most
+_HOT_BLOCK = 500_000
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -80,7 +79,7 @@ def shared_needed(c: int, percent: int) -> int:
 
 
 def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, the rare ones of least value, filled up with 0) of a set of n tokens.
+    """(index keys, the first two rare tokens in the global order, or 0) of a set of n tokens.
 
     tokens, df: its shareable tokens in the global order; the n - len(tokens) others come before them.
     """
@@ -108,9 +107,8 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCEN
                 break
             u, v = tail[:-step][same], tail[step:][same]
             out.append(mix64(u * _A + v * _B + np.uint64(c)) >> np.uint64(64 - ID_BITS))
-    first = np.zeros(LEADS, np.uint64)
-    least = np.sort(singles)[:LEADS]
-    first[: len(least)] = least
+    first = np.zeros(2, np.uint64)
+    first[: min(2, len(singles))] = singles[:2]
     return np.concatenate(out), first
 
 
@@ -221,13 +219,13 @@ def _frequencies(batches, bits: int):
     release()
 
 
-_SETS = "doc_id long, cls long, n long, whole binary, df binary"
+_SETS = "doc_id long, cls long, n long, whole binary"
 
 
 def _sets(batches, percent: int):
     """Of rows in order of f, members first: one row per member, with its shareable set if that is large enough to be similar to another.
 
-    Of the members of one class only the first has the set. whole: tokens in the global order; df: their frequencies.
+    Of the members of one class only the first has the set. whole: tokens in the global order, then frequencies.
     """
 
     def solve(members, blobs):
@@ -253,12 +251,12 @@ def _sets(batches, percent: int):
             tokens, owner, df = tokens[order], owner[order], df[order]
             start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
             for a, b in zip(start, np.append(start[1:], len(owner))):
-                sets[int(owner[a])] = (planes(tokens[a:b], 6), planes(df[a:b], 2))
+                sets[int(owner[a])] = planes(tokens[a:b], 6) + planes(df[a:b], 2)
         for null, i, name, n, number in members.tolist():
-            rows.append((None if null else i, name, n, *sets.pop(number, (None, None))))
+            rows.append((None if null else i, name, n, sets.pop(number, None)))
         for at in range(0, len(rows), 1024):
             part = rows[at : at + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "cls", "n", "whole", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "cls", "n", "whole"])
 
     now, members, blobs = None, np.empty((0, 5), np.int64), []
     for batch in batches:
@@ -276,6 +274,11 @@ def _sets(batches, percent: int):
     release()
 
 
+def unpack(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(whole) // 8
+    return unplanes(whole[: 6 * k], 6), unplanes(whole[6 * k :], 2)
+
+
 def _index(batches, percent: int, frequent: int, n: int):
     """(p, blob) rows: for every partition of keys the sets' entries."""
 
@@ -297,14 +300,14 @@ def _index(batches, percent: int, frequent: int, n: int):
             counts = np.diff(np.append(starts, len(o))).astype(np.uint64)
             head = np.array([len(d), len(o)], np.uint64).tobytes()
             ps.append(int(p))
-            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + b"".join(planes(firsts[d, i], 6) for i in range(LEADS)) + planes(keys[cuts[p] : cuts[p + 1]], 6))
+            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d, 0], 6) + planes(firsts[d, 1], 6) + planes(keys[cuts[p] : cuts[p + 1]], 6))
         for at in range(0, len(ps), 32):
             yield pa.RecordBatch.from_arrays([pa.array(ps[at : at + 32], pa.int32()), pa.array(blobs[at : at + 32], pa.binary())], ["p", "blob"])
 
     entries, size = [], 0
     for batch in batches:
-        for name, m, whole, df in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            keys, first = signatures(m, unplanes(whole, 6), unplanes(df, 2), percent, frequent)
+        for name, m, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            keys, first = signatures(m, *unpack(whole), percent, frequent)
             entries.append((name, m, keys, first))
             size += len(keys)
             if size > 2_000_000:
@@ -316,10 +319,10 @@ def _index(batches, percent: int, frequent: int, n: int):
 
 
 def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
-    """Pairs of documents (a, b) that share a key, each under the least shared of their leads, if they share any.
+    """Pairs of documents (a, b) that share a key, each under the first shared of their leading tokens.
 
-    key, doc: entries in order of (key, doc) without repeats. A pair with common leads (the least of its indexed rare tokens) is
-    left to the least of them, under which it surely comes up. Sizes too far apart are dropped.
+    key, doc: entries in order of (key, doc) without repeats. A pair whose leading rare tokens meet is
+    left to the key of the first such token, as it surely comes up there. Sizes too far apart are dropped.
     """
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length = np.diff(start)
@@ -328,14 +331,11 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
         na, nb = size[a], size[b]
         ok = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
         a, b, k = a[ok], b[ok], k[ok]
-        none = np.uint64((1 << 64) - 1)
-        x, y = first[a], first[b]
-        meet = np.full(len(a), none)
-        for i in range(LEADS):
-            for j in range(LEADS):
-                meet = np.where((x[:, i] == y[:, j]) & (x[:, i] > 0), np.minimum(meet, x[:, i]), meet)
-        ok = (meet == none) | (meet == k)
-        return a[ok], b[ok], np.where(meet == none, np.minimum(x[:, 0], y[:, 0]), meet)[ok]
+        a0, a1, b0, b1 = first[a, 0], first[a, 1], first[b, 0], first[b, 1]
+        z = np.uint64(0)
+        meet = np.where((a0 == b0) & (a0 > z), a0, np.where((a1 == b0) & (a1 > z), a1, np.where((a0 == b1) & (a0 > z), a0, np.where((a1 == b1) & (a1 > z), a1, z))))
+        ok = (meet == z) | (meet == k)
+        return a[ok], b[ok]
 
     for m in np.unique(length):
         if m < 2:
@@ -360,16 +360,11 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
 
 
 def _meet(batches, percent: int):
-    """Of rows in order of p: the entries of one p are joined to candidate pairs, packed by unit of verification.
-
-    Pairs that meet under the same lead form a unit, so a set is needed in few; pairs without a common lead
-    go by the least lead of both. Very many pairs form several units.
-    """
+    """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, block)."""
 
-    def emit(rows):
-        for at in range(0, len(rows), 64):
-            part = rows[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["unit", "blob"])
+    def emit(*columns):
+        for at in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns], ["a", "b", "block"])
 
     def solve(blobs):
         cls, size, first, owner, key = [], [], [], [], []
@@ -378,14 +373,14 @@ def _meet(batches, percent: int):
             d, e = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
             at = 16
             got = []
-            for w, k in ((8, d), (4, d), (4, d), *[(6, d)] * LEADS, (6, e)):
+            for w, k in ((8, d), (4, d), (4, d), (6, d), (6, d), (6, e)):
                 got.append(unplanes(raw[at : at + w * k], w))
                 at += w * k
             cls.append(got[0])
             size.append(got[1])
-            first.append(np.stack(got[3 : 3 + LEADS], 1))
+            first.append(np.stack([got[3], got[4]], 1))
             owner.append(np.repeat(np.arange(docs, docs + d), got[2].astype(np.int64)))
-            key.append(got[-1])
+            key.append(got[5])
             docs += d
         cls, size, first = np.concatenate(cls), np.concatenate(size).astype(np.int64), np.concatenate(first)
         owner, key = np.concatenate(owner), np.concatenate(key)
@@ -399,25 +394,14 @@ def _meet(batches, percent: int):
         held, count = [], 0
 
         def flush():
-            block, both = np.concatenate(held, 1)
-            order = np.lexsort((both, block))
-            block, both = block[order], both[order]
-            new = np.concatenate(([True], (block[1:] != block[:-1]) | (both[1:] != both[:-1])))
-            block, both = block[new], both[new]
-            a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            rows = []
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                for at in range(x, y, _UNIT):
-                    end = min(at + _UNIT, y)
-                    names, places = np.unique(np.concatenate([u[a[at:end]], u[b[at:end]]]), return_inverse=True)
-                    unit = (mix64(block[at : at + 1] * _A + np.full(1, at - x, np.uint64) * _B) >> np.uint64(1))[0]
-                    rows.append((int(unit), np.array([len(names)], np.uint64).tobytes() + names.astype(np.int64).tobytes() + planes(places.astype(np.uint64), 3)))
-            return emit(rows)
-
-        for a, b, block in _candidates(key, doc, size, first, percent):
+            both = np.unique(np.concatenate(held))
+            a, b = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+            a, b = a.astype(np.int64), b.astype(np.int64)
+            return emit(u[a], u[b], first[a, 0])
+
+        for a, b in _candidates(key, doc, size, first, percent):
             if len(a):
-                held.append(np.stack([block, a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)]))
+                held.append(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
                 count += len(a)
                 if count > 3_000_000:
                     yield from flush()
@@ -438,46 +422,30 @@ def _meet(batches, percent: int):
     release()
 
 
-def _unpair(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first, second): the pairs of a unit as places in its names."""
-    n = int(np.frombuffer(raw, np.uint64, 1)[0])
-    places = unplanes(raw[8 + 8 * n :], 3).astype(np.int64)
-    return np.frombuffer(raw, np.int64, n, 8), places[: len(places) // 2], places[len(places) // 2 :]
-
-
-def _needed(batches):
-    for batch in batches:
-        for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            names = _unpair(raw)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), unit)), pa.array(names)], ["unit", "cls"])
-
-
 def _verify(batches, percent: int):
-    """Of rows in order of (unit, kind): sets first, then the pairs to check."""
+    """Of rows in order of (block, kind): sets first, then the pairs to check."""
     now, sets = None, {}
     for batch in batches:
-        for unit, kind, cls, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if unit != now:
-                now, sets = unit, {}
+        a_out, b_out = [], []
+        rows = batch.to_pydict()
+        for block, i, j, kind, a, b, raw in zip(rows["block"], rows["i"], rows["j"], rows["kind"], rows["a"], rows["b"], rows["whole"]):
+            if (block, i, j) != now:
+                now, sets = (block, i, j), {}
             if kind == 0:
-                sets[cls] = (n, np.sort(unplanes(raw, 6)))
+                sets[a] = (b, np.sort(unpack(raw)[0]))
+                continue
+            (nx, x), (ny, y) = sets[a], sets[b]
+            if len(x) > len(y):
+                x, y = y, x
+            if not len(x):
                 continue
-            names, first, second = _unpair(raw)
-            kept = []
-            for i, j in zip(first.tolist(), second.tolist()):
-                (nx, x), (ny, y) = sets[names[i]], sets[names[j]]
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                if 100 * both >= percent * (nx + ny - both):
-                    kept.append((names[i], names[j]))
-            for at in range(0, len(kept), 50_000):
-                part = kept[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int64())], ["a", "b"])
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum())
+            if 100 * both >= percent * (nx + ny - both):
+                a_out.append(a)
+                b_out.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -490,13 +458,19 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     found = checkpointed(rows)
     members = found.select("doc_id", "cls", F.col("n").alias("n_shingles"))
     # a class may come from several flushes, with the same set
-    sets = found.where("whole is not null").select("cls", "n", "whole", "df")
+    sets = found.where("whole is not null").select("cls", "n", "whole")
     index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
-    met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "unit long, blob binary"))
-    zero, one, no = F.lit(0).alias("kind"), F.lit(1).alias("kind"), F.lit(None).cast("long")
-    rows = met.mapInArrow(_needed, "unit long, cls long").distinct().join(sets.select("cls", "n", "whole"), "cls").select("unit", zero, "cls", "n", "whole")
-    rows = rows.unionByName(met.select("unit", one, no.alias("cls"), no.alias("n"), F.col("blob").alias("whole")))
-    links = rows.repartition(n, "unit").sortWithinPartitions("unit", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long").distinct()
+    met = index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "a long, b long, block long")
+    pairs = checkpointed(met.groupBy("a", "b").agg(F.min("block").alias("block")))
+    # a block with very many pairs is cut into a grid by both sides
+    hot = pairs.groupBy("block").agg(F.count("*").alias("c")).where(f"c > {_HOT_BLOCK}").select(F.col("block").alias("hot"), F.ceil(F.sqrt(F.col("c") / _HOT_BLOCK)).alias("side"))
+    side = F.coalesce(F.col("side"), F.lit(1))
+    pairs = pairs.join(F.broadcast(hot), F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j"))
+    needed = pairs.select("block", "i", "j", F.col("a").alias("cls")).union(pairs.select("block", "i", "j", F.col("b").alias("cls"))).distinct()
+    no = F.lit(None)
+    rows = needed.join(sets, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
+    rows = rows.unionByName(pairs.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
+    links = rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
     return members, checkpointed(links)
 
 

@@ -2,14 +2,17 @@
 
 1. Vectors are normalised in double precision; equal ones form a class that is searched once.
 2. Pivots cut the space into overlapping clusters: each vector goes to its ``OVERLAP`` nearest pivots. A cluster beyond
-   ``SHARD`` vectors is cut again in the same way, so no task's shard grows with the input.
-3. In every shard a flat proximity graph is built: nearest neighbours, robust-pruned (a neighbour that
-   lies much nearer to one already chosen is dropped), with back edges. The graph of the whole is the union
-   of the shards' adjacency lists.
-4. Every vector is a query: greedy search over the graph of each of its shards, from the medoid, first
+   ``SHARD`` vectors is salted into blocks of about that many, so no task's shard grows with the input.
+3. In every block a flat proximity graph is built: nearest neighbours, robust-pruned (a neighbour that
+   lies much nearer to one already chosen is dropped), with back edges.
+4. Every vector is a query: greedy search over the graph of each of its blocks, from the medoid, first
    to the query's surroundings, then range-expanding over all within the search radius.
-5. Hits are verified by the exact cosine in double precision.
-6. ``audit`` measures recall against brute force on a stated query set.
+5. The graph of the whole is the union of the adjacency lists. The expansion crosses clusters in rounds: where a query
+   has found a node within the slack, it becomes a guest of the node's other clusters, until no query has a new one.
+   A guest meets all vectors of a cluster exactly, hence all that the node's lists there hold. So do the blocks
+   of a salted cluster, each pair of them, whatever their number.
+6. Hits are verified by the exact cosine in double precision.
+7. ``audit`` measures recall against brute force on a stated query set.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ DEGREE = 24
 ALPHA = 1.2
 OVERLAP = 2
 SHARD = 4_000
+SLACK = 0.08  # searches go on over nodes whose similarity is this much below the threshold
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -106,17 +110,17 @@ def walk(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, medoid: in
     return at
 
 
-def expand_all(x: np.ndarray, lists: list[np.ndarray], threshold: float, hops: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Range expansion of all rows of a shard at once: pairs (i, j), i < j, within the threshold.
+def expand_all(x: np.ndarray, lists: list[np.ndarray], threshold: float, hops: int = 2, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """Range expansion of all rows of a block at once: pairs (i, j), i < j, within the threshold less the slack.
 
     Every row is a query. It starts where its greedy walk from the medoid ends, and at its own node, and expands
-    over neighbours within the threshold less a slack until nothing new is near.
+    over neighbours within that radius until nothing new is near.
     """
     n = len(x)
     width = np.array([len(c) for c in lists])
     flat = np.concatenate(lists) if n and width.sum() else np.empty(0, int)
     offset = np.concatenate(([0], np.cumsum(width)))
-    slack = threshold - 0.08
+    near = threshold - slack
     out_a, out_b = [], []
     medoid = int((x @ x.mean(0)).argmax()) if n else 0
     for at in range(0, n, 256):
@@ -129,8 +133,8 @@ def expand_all(x: np.ndarray, lists: list[np.ndarray], threshold: float, hops: i
         other = np.flatnonzero(far != queries)
         seen[other, far[other]] = True
         s = np.einsum("ij,ij->i", x[queries[other]], x[far[other]])
-        out_a.append(queries[other[s >= threshold - 1e-6]])
-        out_b.append(far[other[s >= threshold - 1e-6]])
+        out_a.append(queries[other[s >= near - 1e-6]])
+        out_b.append(far[other[s >= near - 1e-6]])
         q, node = np.concatenate([q, other]), np.concatenate([node, far[other]])
         step = 0
         while len(q):
@@ -142,10 +146,10 @@ def expand_all(x: np.ndarray, lists: list[np.ndarray], threshold: float, hops: i
             qq, nn = code // n, code % n
             seen[qq, nn] = True
             s = np.einsum("ij,ij->i", x[queries[qq]], x[nn])
-            hit = s >= threshold - 1e-6
+            hit = s >= near - 1e-6
             out_a.append(queries[qq[hit]])
             out_b.append(nn[hit])
-            go = (s >= slack) if step >= hops else np.ones(len(s), bool) if step < 1 else s >= slack - 0.15
+            go = (s >= near) if step >= hops else np.ones(len(s), bool) if step < 1 else s >= near - 0.15
             q, node = qq[go], nn[go]
             step += 1
     a, b = np.concatenate(out_a) if out_a else np.empty(0, int), np.concatenate(out_b) if out_b else np.empty(0, int)
@@ -213,49 +217,81 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, degree: in
                     where.append(-len(x[r]))
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), part.column(0).take(pa.array(rows_, pa.int64())), part.column(1).take(pa.array(rows_, pa.int64()))], ["c", "cls", "v"])
 
+    def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, vectors and clusters (filled up with the first) of a block's rows, by name."""
+        t = t.sort_by("cls")
+        homes = [h + h[:1] * (overlap - len(h)) for h in t.column("homes").to_pylist()]
+        return t.column("cls").to_numpy(), np.stack([np.frombuffer(v, np.float64) for v in t.column("v").to_pylist()]), np.array(homes, np.int64)
+
+    def found(a, b, sims, homes_a, homes_b) -> pa.Table:
+        """Links (a, b, null), and routes (query, null, cluster) to the clusters of near nodes that aren't the query's own."""
+        hit = sims >= threshold
+        routes = []
+        for q, own, other in ((a, homes_a, homes_b), (b, homes_b, homes_a)):
+            for k in range(other.shape[1]):
+                go = (own != other[:, k : k + 1]).all(1)
+                routes.append(np.stack([q[go], other[go, k]], 1))
+        r = np.unique(np.concatenate(routes), axis=0)
+        low, high = np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])
+        return pa.table({"a": pa.array(np.concatenate([low, r[:, 0]]), pa.int64()), "b": pa.concat_arrays([pa.array(high, pa.int64()), pa.nulls(len(r), pa.int64())]), "c": pa.concat_arrays([pa.nulls(len(low), pa.int64()), pa.array(r[:, 1], pa.int64())])})
+
     def solve(t: pa.Table) -> pa.Table:
-        names = np.array(t.column("cls").to_pylist())
-        order = np.argsort(names)
-        data = t.column("v").to_pylist()
-        a_out, b_out = [], []
-        x = np.stack([np.frombuffer(data[i], np.float64) for i in order])
-        names = names[order]
-        for part in _split(x, shard, overlap):
-            y = x[part]
-            a, b = expand_all(y, build(y, degree), threshold)
-            exact = np.einsum("ij,ij->i", y[a], y[b]) >= threshold
-            a_out.append(names[part[a[exact]]])
-            b_out.append(names[part[b[exact]]])
-        return pa.table({"a": pa.array(np.concatenate(a_out), pa.int64()), "b": pa.array(np.concatenate(b_out), pa.int64())})
+        names, x, homes = opened(t)
+        a, b = expand_all(x, build(x, degree), threshold)
+        return found(names[a], names[b], np.einsum("ij,ij->i", x[a], x[b]), homes[a], homes[b])
+
+    def meet(t: pa.Table, guests: pa.Table) -> pa.Table:
+        out = []
+        if t.num_rows and guests.num_rows:
+            names, x, homes = opened(t)
+            others, y, others_homes = opened(guests.rename_columns([k.removeprefix("guest_") for k in guests.column_names]))
+            for at in range(0, len(y), 256):
+                q, i = np.nonzero(y[at : at + 256] @ x.T >= threshold - SLACK - 1e-6)
+                q += at
+                q, i = q[others[q] != names[i]], i[others[q] != names[i]]
+                out.append(found(others[q], names[i], np.einsum("ij,ij->i", y[q], x[i]), others_homes[q], homes[i]))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in "abc"})
 
     if n == 0:
         return members, members.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    placed = distinct.select("cls", "v").mapInArrow(place, "c long, cls long, v binary")
-    # hot clusters are cut by further pivots inside the task; their rows are the clusters' share of distinct vectors
-    links = placed.groupBy("c").applyInArrow(solve, "a long, b long").distinct()
-    return members, checkpointed(links)
-
-
-def _split(x: np.ndarray, shard: int, overlap: int) -> list[np.ndarray]:
-    """Index sets of at most about ``shard`` rows that cover x, overlapping like the clusters."""
-    todo, out = [np.arange(len(x))], []
-    while todo:
-        part = todo.pop()
-        if len(part) <= shard:
-            out.append(part)
-            continue
-        k = max(2, -(-len(part) * overlap * 2 // shard))
-        pivots = x[part[:: max(1, len(part) // k)][:k]]
-        near = np.argsort(-(x[part] @ pivots.T), axis=1, kind="stable")[:, :overlap]
-        for p in range(len(pivots)):
-            inside = part[(near == p).any(1)]
-            if len(inside) == len(part):  # pivots can't tell these apart: cut by place, with each half overlapping
-                half = len(part) // 2
-                todo += [part[: half + shard // 4], part[half - shard // 4 :]]
-                break
-            if len(inside):
-                todo.append(inside)
-    return out
+    placed = checkpointed(distinct.select("cls", "v").mapInArrow(place, "c long, cls long, v binary"))
+    salts = F.broadcast(checkpointed(placed.groupBy("c").agg(F.ceil(F.count("*") / shard).alias("salts"))))  # a row per cluster
+    nodes = placed.groupBy("cls").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("c")).alias("homes"))
+    nodes = checkpointed(nodes)
+    blocks = nodes.withColumn("c", F.explode("homes")).join(salts, "c").withColumn("salt", F.expr("pmod(xxhash64(cls), salts)"))
+    blocks = checkpointed(blocks.select("c", "salt", "salts", "cls", "v", "homes"))
+    schema = "a long, b long, c long"
+    got = checkpointed(blocks.select("c", "salt", "cls", "v", "homes").groupBy("c", "salt").applyInArrow(solve, schema))
+    # blocks of a cluster meet each later one of it
+    guests = blocks.where("salts > 1 and salt < salts - 1").select("c", F.explode(F.sequence(F.col("salt") + 1, F.col("salts") - 1)).alias("salt"), F.col("salt").alias("turn"), "cls", "v", "homes")
+    links, visited = [got.where("b is not null").select("a", "b")], placed.select("cls", "c")
+
+    def met(guests: DataFrame) -> DataFrame:
+        """Of guests by cluster, salt and turn (a bounded number of each), what they find in that block."""
+        keys = ["c", "salt", "turn"]
+        hosts = blocks.select("c", "salt", "cls", "v", "homes").join(guests.select(keys).distinct(), ["c", "salt"])
+        left = hosts.select(*[F.col(k).alias(k) for k in (*keys, "cls", "v", "homes")])
+        right = guests.select(*[F.col(k).alias(f"guest_{k}") for k in (*keys, "cls", "v", "homes")])
+        return checkpointed(left.groupBy(keys).cogroup(right.groupBy([f"guest_{k}" for k in keys])).applyInArrow(meet, schema))
+
+    found_now = [got]
+    if not guests.isEmpty():
+        found_now.append(met(guests))
+        links.append(found_now[-1].where("b is not null").select("a", "b"))
+    while True:
+        routes = found_now[0] if len(found_now) == 1 else found_now[0].unionByName(found_now[1])
+        new = checkpointed(routes.where("c is not null").select(F.col("a").alias("cls"), "c").distinct().join(visited, ["cls", "c"], "left_anti"))
+        if new.isEmpty():
+            break
+        visited = checkpointed(visited.union(new))
+        turns = F.broadcast(new.groupBy("c").agg(F.ceil(F.count("*") / shard).alias("turns")))
+        guests = new.join(turns, "c").join(salts, "c").join(nodes, "cls").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.expr("pmod(xxhash64(cls), turns)").alias("turn"), "cls", "v", "homes")
+        found_now = [met(guests)]
+        links.append(found_now[0].where("b is not null").select("a", "b"))
+    everything = links[0]
+    for more in links[1:]:
+        everything = everything.union(more)
+    return members, checkpointed(everything.distinct())
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **build_options) -> DataFrame:

@@ -217,3 +217,19 @@ def test_embeddings(spark):
     s = (y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)
     assert sum(r.n_links for r in got.values()) >= 0.9 * s.sum() and all(got[i].n_links <= s[i].sum() for i in got)
     assert all(got[i].n_links == 0 and got[i].kept for i in range(301, 305))
+
+
+def test_embeddings_dense_group(spark, monkeypatch):
+    # one group of near copies, all linked to each other, over many shards
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    x = np.concatenate([centre + rng.normal(size=(400, 16)) * 0.06, rng.normal(size=(200, 16))])
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)
+    got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(rows, shard=50).collect()}
+    assert s[:400].sum() > 100_000 and [got[i] for i in range(600)] == s.sum(1).tolist()
+    # the same as one cluster: all its blocks meet each other
+    monkeypatch.setattr(embedding_graph, "_pivots", lambda vectors, count: y[:1])
+    got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(rows, shard=150).collect()}
+    assert [got[i] for i in range(600)] == s.sum(1).tolist()

@@ -1,12 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of ``block_rows`` documents. With a quota of a slots in a frame of Q,
-the source's j-th block of a frame may start at floor(j*Q/a) and is due at ceil((j+1)*Q/a). Earliest
-deadline first over these windows gives each source, after any number of slots, within less than one
-block of its share. A frame is scheduled once; later frames repeat it, so the place of any block is
-arithmetic, and the documents themselves are never put in one order by one task.
+Every source is cut into blocks of ``block_rows`` documents. A source of weight w may start its j-th block at
+floor(j/w), and it is due at ceil((j+1)/w). Weights are counted in billionths that sum to one, so this is whole
+arithmetic. Earliest deadline first over these windows gives each source, after any number of slots, within
+less than one block of its weight's share. Slots are dealt until the last source is through, by a fold over slots and
+sources that knows sizes only; the documents themselves are never put in one order by one task.
 
-Everything is DataFrame operations: the frame is a fold over its slots.
+Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 FRAME = 1_000
+UNITS = 1_000_000_000  # of which weights are made up
 ALPHA = 0.9
 BLOCK_ROWS = 16
 MOST_BROADCAST = 100_000  # sources, of some 50 bytes each; beyond, documents are joined by shuffling
 
 
 def source_sizes(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, frame: int = FRAME) -> DataFrame:
-    """One row per source: rows, blocks, weight (share of rows**alpha), slots of its own in a frame.
+    """One row per source: rows, blocks, weight (share of rows**alpha), units (the weight in billionths), slots of its own in a frame.
 
-    Slots are whole: every source has one, the rest goes by largest remainder (ties: lesser name), so
+    The mix goes by units. They go by largest remainder (ties: lesser name), at least one each. Slots are for a look at one
+    frame (``frame_schedule``). They are whole: every source has one, the rest goes by largest remainder (ties: lesser name), so
     slots sum to the frame's length, which is ``frame`` or eight per source if that is more.
     """
     by = docs.groupBy(F.col("source")).agg(F.count("*").alias("n_rows"))
     everything = Window.partitionBy(F.lit(0))  # over sources, not rows
     by = by.select("source", "n_rows", F.ceil(F.col("n_rows") / block_rows).alias("n_blocks"), F.pow(F.col("n_rows").cast("double"), F.lit(alpha)).alias("mass"))
-    by = by.select("source", "n_rows", "n_blocks", F.round(F.col("mass") / F.sum("mass").over(everything), 9).alias("weight"), F.greatest(F.lit(frame).cast("long"), 8 * F.count("*").over(everything)).alias("frame"), F.count("*").over(everything).alias("n_sources"))
+    by = by.select("source", "n_rows", "n_blocks", "mass", F.round(F.col("mass") / F.sum("mass").over(everything), 9).alias("weight"), F.greatest(F.lit(frame).cast("long"), 8 * F.count("*").over(everything)).alias("frame"), F.count("*").over(everything).alias("n_sources"))
     exact = F.col("weight") * (F.col("frame") - F.col("n_sources"))
     by = by.withColumn("whole", F.floor(exact)).withColumn("part", F.round(exact - F.floor(exact), 6))
     by = by.withColumn("left", F.col("frame") - F.col("n_sources") - F.sum("whole").over(everything))
@@ -39,25 +41,47 @@ def source_sizes(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = A
     by = by.withColumn("slots", F.col("whole") + 1 + (turn <= F.col("left")).cast("long"))
     # the rounded weights may leave a slot over or short by one or two: the largest source takes it
     largest = F.row_number().over(everything.orderBy(F.desc("n_rows"), F.col("source").asc_nulls_first())) == 1
-    return by.select("source", "n_rows", "n_blocks", "weight", "frame", (F.col("slots") + F.when(largest, F.col("frame") - F.sum("slots").over(everything)).otherwise(0)).alias("slots"))
+    share = F.col("mass") / F.sum("mass").over(everything) * UNITS
+    by = by.withColumn("floor", F.greatest(F.floor(share), F.lit(1).cast("long"))).withColumn("over", F.round(share - F.floor(share), 3))
+    by = by.withColumn("short", UNITS - F.sum("floor").over(everything))
+    nth = F.row_number().over(everything.orderBy(F.desc("over"), F.col("source").asc_nulls_first()))
+    by = by.withColumn("units", F.col("floor") + ((F.col("short") > 0) & (nth <= F.col("short"))).cast("long"))
+    by = by.withColumn("units", F.col("units") + F.when(largest, UNITS - F.sum("units").over(everything)).otherwise(0))  # where least units went beyond
+    return by.select("source", "n_rows", "n_blocks", "weight", "units", "frame", (F.col("slots") + F.when(largest, F.col("frame") - F.sum("slots").over(everything)).otherwise(0)).alias("slots"))
 
 
 def frame_schedule(sizes: DataFrame) -> DataFrame:
-    """(source, nth, slot): the frame's slots in order of earliest deadline among released blocks."""
+    """(source, nth, slot): a single frame's slots by the sources' whole slots in it."""
+    return _deal(sizes.select("source", F.col("slots").alias("share"), F.col("frame").alias("whole"), F.col("frame").alias("length")))
+
+
+def schedule(sizes: DataFrame) -> DataFrame:
+    """(source, nth, slot): all slots by the weights, up to the last deadline of a source's own blocks."""
+    due = F.expr(f"(n_blocks * {UNITS}L + units - 1) div units")
+    return _deal(sizes.select("source", F.col("units").alias("share"), F.lit(UNITS).cast("long").alias("whole"), due.alias("length")))
+
+
+def _deal(shares: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """(source, nth, slot) in order of earliest deadline among released blocks; a source has share / whole of the slots."""
     # rank of sources by name breaks ties of deadlines
-    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("name"), "source", "slots"))).alias("s"), F.max("frame").alias("frame"))
+    listed = shares.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("name"), "source", "share"))).alias("s"), F.max("whole").alias("whole"), F.max("length").alias("length")).where("length > 0")
+    # picks are gathered by chunks, as an array is copied whenever it grows
     folded = listed.select(
         "s",
         F.expr(
-            """
-            aggregate(sequence(0L, frame - 1),
-              struct(transform(s, x -> 0L) as done, cast(array() as array<int>) as picks),
-              (acc, t) -> transform(array(array_min(transform(s, (x, i) -> case
-                    when acc.done[i] < x.slots and acc.done[i] * frame div x.slots <= t
-                    then struct((((acc.done[i] + 1) * frame + x.slots - 1) div x.slots) as due, i as i)
-                    else struct(9223372036854775807L as due, i as i) end)).i),
-                  p -> struct(transform(acc.done, (d, i) -> d + if(i = p, 1L, 0L)) as done, concat(acc.picks, array(p)) as picks))[0],
-              acc -> acc.picks) as picks
+            f"""
+            aggregate(sequence(0L, (length - 1) div {chunk}),
+              struct(transform(s, x -> 0L) as done, cast(array() as array<array<int>>) as chunks),
+              (all, c) -> transform(array(
+                aggregate(sequence(c * {chunk}, least(c * {chunk} + {chunk}, length) - 1),
+                  struct(all.done as done, cast(array() as array<int>) as picks),
+                  (acc, t) -> transform(array(array_min(transform(s, (x, i) -> case
+                        when acc.done[i] * whole div x.share <= t
+                        then struct((((acc.done[i] + 1) * whole + x.share - 1) div x.share) as due, i as i)
+                        else struct(9223372036854775807L as due, i as i) end)).i),
+                      p -> struct(transform(acc.done, (d, i) -> d + if(i = p, 1L, 0L)) as done, concat(acc.picks, array(p)) as picks))[0])),
+                r -> struct(r.done as done, concat(all.chunks, array(r.picks)) as chunks))[0],
+              all -> flatten(all.chunks)) as picks
             """
         ),
     )
@@ -91,31 +115,22 @@ def plan_mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA
     least once). Null sources form one source. An empty table gives no rows.
     """
     sizes = checkpointed(source_sizes(docs, block_rows, alpha, frame))
-    schedule = checkpointed(frame_schedule(sizes))
-    sizes = checkpointed(_with_length(sizes, schedule))
+    slots = checkpointed(schedule(sizes))
+    sizes = checkpointed(_with_length(sizes, slots))
     rows = numbered(docs).withColumn("block", F.floor(F.col("nth_row") / block_rows))
-    s = sizes.select(F.col("source").alias("ss"), "slots", "frame", "n_blocks", "given")
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("ss"))).withColumn("nth", F.col("block") % F.col("slots"))
-    f = schedule.select(F.col("source").alias("fs"), F.col("nth").alias("fn"), "slot")
-    rows = rows.join(f, F.col("source").eqNullSafe(F.col("fs")) & (F.col("nth") == F.col("fn")))
-    return rows.select(
-        "doc_id",
-        "source",
-        "block",
-        (F.expr("block div slots") * F.col("frame") + F.col("slot")).alias("first_slot"),
-        (F.expr("given div n_blocks") + (F.col("block") < F.expr("given % n_blocks")).cast("long")).alias("repeats"),
-    )
+    s = sizes.select(F.col("source").alias("ss"), "n_blocks", "given")
+    rows = rows.join(s, F.col("source").eqNullSafe(F.col("ss")))
+    f = slots.select(F.col("source").alias("fs"), F.col("nth").alias("fn"), F.col("slot").alias("first_slot"))
+    rows = rows.join(f, F.col("source").eqNullSafe(F.col("fs")) & (F.col("block") == F.col("fn")))
+    return rows.select("doc_id", "source", "block", "first_slot", (F.expr("given div n_blocks") + (F.col("block") < F.expr("given % n_blocks")).cast("long")).alias("repeats"))
 
 
-def _with_length(sizes: DataFrame, schedule: DataFrame) -> DataFrame:
+def _with_length(sizes: DataFrame, slots: DataFrame) -> DataFrame:
     """given: the blocks that a source gives until the slowest source is through all of its own."""
-    last = sizes.select(F.col("source").alias("ls"), F.expr("(n_blocks - 1) % slots").alias("ln"), F.expr("(n_blocks - 1) div slots * frame").alias("at"))
-    ends = last.join(schedule, F.col("source").eqNullSafe(F.col("ls")) & (F.col("nth") == F.col("ln"))).agg((F.max(F.col("at") + F.col("slot")) + 1).alias("length"))
-    full = sizes.join(F.broadcast(ends)).withColumn("whole", F.expr("length div frame * slots")).withColumn("rest", F.expr("length % frame"))
-    s = schedule.select(F.col("source").alias("fs"), "slot")
-    part = full.join(s, F.col("source").eqNullSafe(F.col("fs")) & (F.col("slot") < F.col("rest"))).groupBy("source").agg(F.count("*").alias("part")).select(F.col("source").alias("ps"), "part")
-    joined = full.join(part, F.col("source").eqNullSafe(F.col("ps")), "left")
-    return joined.select(*[sizes[c] for c in sizes.columns], (F.col("whole") + F.coalesce("part", F.lit(0))).alias("given"))
+    last = sizes.select(F.col("source").alias("ls"), (F.col("n_blocks") - 1).alias("ln"))
+    ends = last.join(slots, F.col("source").eqNullSafe(F.col("ls")) & (F.col("nth") == F.col("ln"))).agg(F.max("slot").alias("end"))
+    counts = slots.join(F.broadcast(ends)).where("slot <= end").groupBy(F.col("source").alias("ps")).agg(F.count("*").alias("given"))
+    return sizes.join(counts, F.col("source").eqNullSafe(F.col("ps"))).select(*[sizes[c] for c in sizes.columns], "given")
 
 
 def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, frame: int = FRAME) -> DataFrame:
@@ -125,7 +140,7 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, fra
     tells its rows apart, and the texts are neither sorted nor shuffled.
     """
     sizes = checkpointed(source_sizes(docs, block_rows, alpha, frame))
-    sizes = checkpointed(_with_length(sizes, frame_schedule(sizes)))
+    sizes = checkpointed(_with_length(sizes, checkpointed(schedule(sizes))))
     more = sizes.select("source", F.expr("given div n_blocks").alias("base"), (F.expr("given % n_blocks") * block_rows).alias("lead"))
     rows = numbered(docs)
     m = more.select(F.col("source").alias("ms"), "lead")

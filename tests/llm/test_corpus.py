@@ -233,3 +233,22 @@ def test_embeddings_dense_group(spark, monkeypatch):
     monkeypatch.setattr(embedding_graph, "_pivots", lambda vectors, count: y[:1])
     got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(rows, shard=150).collect()}
     assert [got[i] for i in range(600)] == s.sum(1).tolist()
+
+
+def test_mixing_by_weight(spark):
+    # 21 sources beside a hot one, and one so small that a whole slot in a frame would be many times its share
+    d = documents(spark, ["t"] * 6_005, sources=["tiny" if i >= 6_000 else "hot" if i % 3 == 0 else f"s{i % 20}" for i in range(6_005)])
+    sizes = {r.source: r for r in mixing.source_sizes(d, 2).collect()}
+    assert sum(r.units for r in sizes.values()) == mixing.UNITS
+    order = [r.source for r in mixing.schedule(mixing.source_sizes(d, 2)).orderBy("slot").collect()]
+    done = dict.fromkeys(sizes, 0)
+    for slot, source in enumerate(order):
+        done[source] += 1
+        assert all(abs(done[k] - (slot + 1) * r.weight) < 1 for k, r in sizes.items())
+    assert len(order) > 3 * mixing.FRAME
+    plan = mixing.plan_mix(d, 2).collect()
+    length = max(r.first_slot for r in plan) + 1
+    assert len(plan) == 6_005 and mixing.mix(d, 2).count() == sum(r.repeats for r in plan)
+    assert all(order[r.first_slot] == r.source for r in plan)
+    given = {k: sum(r.repeats for r in plan if r.source == k) / 2 for k in sizes}
+    assert all(abs(given[k] - length * r.weight) < 2 for k, r in sizes.items())

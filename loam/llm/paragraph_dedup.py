@@ -4,8 +4,9 @@ Texts often repeat passages that don't begin at a line. So paragraphs are cut by
 the hash of it and its successor is the least within ``REACH`` words on both sides. Equal passages then have equal
 cuts inside, whatever surrounds them. A paragraph's MinHash signature over its word pairs is
 banded; the bands are tuned for the recall wanted at the threshold. Paragraphs of equal content are
-one node. Nodes that collide in a band are joined to the least of the bucket (a star, not all pairs), verified by
-the exact Jaccard index of their word pairs, and clustered by connected components. Of each cluster the
+one node. Nodes that collide in a band are joined to the least of the bucket (a star) and verified by
+the exact Jaccard index of their word pairs; those that are unlike it meet all others of the bucket in the same way. The links
+are clustered by connected components. Of each cluster the
 first occurrence (least doc_id, then place) stays; runs of other occurrences with at least
 ``MIN_WORDS`` words are marked for removal.
 """
@@ -32,10 +33,10 @@ _FLUSH = 200_000  # paragraphs that a task gathers before it sends
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
     """(bands, rows): the most selective banding of at most ``most`` hashes that finds pairs at the threshold with the recall.
 
-    Of two or more rows a band; a band more costs as much as half a row's worth of false collisions.
+    Of three or more rows a band, lest unrelated paragraphs fill the buckets; a band more costs as much as half a row's worth of false collisions.
     """
     best = None
-    for rows in range(2, 7):
+    for rows in range(3, 7):
         for bands in range(1, most // rows + 1):
             if 1 - (1 - threshold**rows) ** bands >= recall:
                 cost = bands * (1 + 2.0 ** (2 - rows))
@@ -134,7 +135,7 @@ def _collide(batches, bands: int, rows: int, bits: int):
 
 
 def _stars(batches, bits: int):
-    """Of rows in order of g: (a, b) candidates, a the least digest of a bucket; (a, null) digests that occur twice or more."""
+    """Of rows in order of g: (k, a, b) candidates, a the least digest of a bucket, k its key if it has three or more; (null, a, null) digests that occur twice or more."""
     low = np.uint64(48 - bits)
 
     def solve(g, blobs):
@@ -161,21 +162,24 @@ def _stars(batches, bits: int):
         if len(own):
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             many = own[first][np.add.reduceat(c[mine].astype(np.int64), first) > 1]
-            yield many, None
+            yield None, many, None
         k, d = k[~mine], d[~mine]
         if len(k):
             new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
             k, d = k[new], d[new]
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            head = np.repeat(d[first], np.diff(np.append(first, len(k))))
+            size = np.diff(np.append(first, len(k)))
+            head, size = np.repeat(d[first], size), np.repeat(size, size)
             other = head != d
-            yield head[other], d[other]
+            yield np.where(size > 2, k, np.uint64(_FULL))[other], head[other], d[other]
 
     def rows(g, blobs):
-        for a, b in solve(g, blobs):
+        for k, a, b in solve(g, blobs):
             for at in range(0, len(a), 100_000):
                 x = pa.array(a[at : at + 100_000].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([x, pa.nulls(len(x), pa.int64()) if b is None else pa.array(b[at : at + 100_000].astype(np.int64))], ["a", "b"])
+                none = pa.nulls(len(x), pa.int64())
+                key = none if k is None else pa.array(k[at : at + 100_000].astype(np.int64), mask=k[at : at + 100_000] == np.uint64(_FULL))
+                yield pa.RecordBatch.from_arrays([key, x, none if b is None else pa.array(b[at : at + 100_000].astype(np.int64))], ["k", "a", "b"])
 
     now, blobs = None, []
     for batch in batches:
@@ -202,9 +206,9 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     bits = max(8, (4 * n - 1).bit_length())
     bands, rows = tune(threshold, recall)
     texts = docs.select("text")
-    met = texts.mapInArrow(lambda b: _collide(b, bands, rows, bits), "g int, blob binary").repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _stars(b, bits), "a long, b long")
+    met = texts.mapInArrow(lambda b: _collide(b, bands, rows, bits), "g int, blob binary").repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _stars(b, bits), "k long, a long, b long")
     met = checkpointed(met)
-    candidates = met.where("b is not null").distinct()
+    candidates = met.where("b is not null").select("a", "b").distinct()
     ends = candidates.select("a").union(candidates.select("b")).distinct()
     gate = spark.sparkContext.broadcast(IdFilter(ends, "a"))
 
@@ -243,8 +247,18 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     sets = checkpointed(texts.mapInArrow(contents, "d long, s binary").join(ends, F.col("d") == F.col("a"), "left_semi").dropDuplicates(["d"]))
-    joined = candidates.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    links = checkpointed(joined.mapInArrow(verify, "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+        return checkpointed(joined.mapInArrow(verify, "a long, b long"))
+
+    links = verified(candidates)
+    # who is unlike the head of a bucket meets its other members
+    starred = met.where("k is not null and b is not null")
+    unlike = starred.join(links, ["a", "b"], "left_anti").select("k", F.col("b").alias("u"))
+    others = starred.select("k", F.col("b").alias("m")).distinct()
+    more = unlike.join(others, "k").where("u <> m").select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
+    links = links.union(verified(more.join(candidates, ["a", "b"], "left_anti")))
     clusters = components(links)
     # roots: cluster of every digest that occurs more than once or has a similar one
     many = met.where("b is null").select(F.col("a").alias("node")).distinct()

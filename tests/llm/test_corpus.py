@@ -252,3 +252,37 @@ def test_mixing_by_weight(spark):
     assert all(order[r.first_slot] == r.source for r in plan)
     given = {k: sum(r.repeats for r in plan if r.source == k) / 2 for k in sizes}
     assert all(abs(given[k] - length * r.weight) < 2 for k, r in sizes.items())
+
+
+def test_paragraphs_beside_unrelated_heads(spark):
+    # in every band that two near copies share, the least digest is that of an unlike paragraph
+    rng = random.Random(8)
+    bands, rows = paragraph_dedup.tune()
+
+    def facts(words):
+        w, start = paragraph_dedup.paragraphs(" ".join(words))
+        pairs = paragraph_dedup.pair_hashes(w, start)
+        return len(start), set(pairs.tolist()), int(paragraph_dedup.digests(w, start)[0]), paragraph_dedup.band_keys(pairs, start, bands, rows)[0]
+
+    alike = lambda x, y: len(x[1] & y[1]) / len(x[1] | y[1])
+    fresh = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    while True:
+        a = [fresh() for _ in range(26)]
+        b = a[:-1] + [fresh()]
+        x, y = facts(a), facts(b)
+        if x[0] == y[0] == 1 and min(x[2], y[2]) > 6 << 60 and (x[3] == y[3]).any():
+            break
+    texts, left = [a, b], set(np.flatnonzero(x[3] == y[3]).tolist())
+    for _ in range(20_000):
+        keep = rng.randrange(26)
+        c = [fresh() if i < keep < i + 9 else t for i, t in enumerate(a)]
+        z = facts(c)
+        new = {k for k in left if z[3][k] == x[3][k]}
+        if new and z[0] == 1 and z[2] < min(x[2], y[2]) and alike(x, z) < 0.8 > alike(y, z):
+            texts.append(c)
+            left -= new
+        if not left:
+            break
+    assert not left and alike(x, y) >= 0.8
+    got = {r.doc_id: r.n_removed for r in paragraph_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert got[0] == 0 and got[1] == 26

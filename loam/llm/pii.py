@@ -6,9 +6,10 @@ class per step, forward and backward; a linear chain over the tags O and B-/I- o
 decoded by Viterbi. It is trained in numpy, by gradient descent on the chain's log likelihood, from
 labelled spans that a seeded generator writes, among them decoys (dates, prices, hashes, versions).
 
-A span of any kind must hold a digit or an at sign. So only windows around those characters can
-give spans, and the others aren't run: this skips no result. Windows overlap by half; each document's
-window decodings are reconciled over the whole text (``reconcile``).
+A span of any kind must hold a digit or an at sign. So only windows around those characters are run
+at first. Windows overlap by half. A span that touches a window's end inside the text, and lies in no
+whole one, is decoded again in ever wider windows until it ends within, wherever that is; each document's
+decodings are reconciled over the whole text (``reconcile``).
 """
 
 from __future__ import annotations
@@ -306,13 +307,13 @@ def zones(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, its zone goes on before, ... after): windows that overlap by half cover each zone."""
+    """(start, end, the text goes on before, ... after): windows that overlap by half cover each zone."""
     out = []
     for a, b in zones(text):
         at = a
         while True:
             end = min(at + WINDOW, b)
-            out.append((at, end, at > a, end < b))
+            out.append((at, end, at > 0, end < len(text)))
             if end == b:
                 break
             at += STRIDE
@@ -334,7 +335,7 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, int, int, bool
     """All spans of a text, ordered by kind, then start.
 
     found: (kind, start, end, cut) of every window, in any order; cut: it touches a side where its
-    window ends but the zone goes on. Cut spans give way to whole ones; of overlapping spans the longest stays
+    window ends but the text goes on. Cut spans give way to whole ones, which ``find`` has sought for each; of overlapping spans the longest stays
     (ties: earlier start, lesser kind). Base spans are never moved: what overlaps one is dropped.
     """
     taken = sorted((s, e) for _, s, e in base)
@@ -348,30 +349,64 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, int, int, bool
     return sorted(out)
 
 
-def find(texts: list[str | None], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each whole text; null counts as empty. Without a model both are the base."""
-    base = [sorted(base_spans(t)) if t else [] for t in texts]
-    if model is None:
-        return [(b, b) for b in base]
-    found: dict[int, list] = {}
-    jobs = [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
-    for at in range(0, len(jobs), 1024):
-        part = jobs[at : at + 1024]
-        ids = np.zeros((len(part), WINDOW), np.int64)
+def _wider(n: int, cut: list, found: list, base: list[Span], pad: int) -> list[tuple[int, int, bool, bool]]:
+    """Merged windows, ``pad`` wider on both sides, around the cut spans that lie in no whole span and overlap no base span."""
+    whole = [(s, e) for _, s, e, c in found if not c]
+    taken = [(s, e) for _, s, e in base]
+    out: list[list[int]] = []
+    for s, e in sorted({(s, e) for _, s, e, _ in cut}):
+        if any(a <= s and e <= b for a, b in whole) or any(a < e and s < b for a, b in taken):
+            continue
+        a, b = max(0, s - pad), min(n, e + pad)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b, a > 0, b < n) for a, b in out]
+
+
+def _decoded(texts: list[str | None], jobs: list, model: Tagger):
+    """(text, (kind, start, end, cut)) of each span that the model finds in windows of any length."""
+    jobs = sorted(jobs, key=lambda j: max(WINDOW, j[1][1] - j[1][0]))
+    at = 0
+    while at < len(jobs):
+        # as many as 1,024 windows of usual length have characters, and one at least
+        stop = at + 1
+        while stop < len(jobs) and (stop + 1 - at) * max(WINDOW, jobs[stop][1][1] - jobs[stop][1][0]) <= 1024 * WINDOW:
+            stop += 1
+        part, at = jobs[at:stop], stop
+        ids = np.zeros((len(part), max(WINDOW, part[-1][1][1] - part[-1][1][0])), np.int64)
         for r, (i, (a, b, _, _)) in enumerate(part):
             ids[r, : b - a] = classes(texts[i][a:b])
         tags = model.decode(ids)
         for r in np.flatnonzero((tags > 0).any(1)):
             i, (a, b, before, after) = part[r]
             row = tags[r, : b - a]
-            begins = np.flatnonzero(row % 2 == 1)
-            for s in begins:
+            for s in np.flatnonzero(row % 2 == 1):
                 e = s + 1
                 while e < len(row) and row[e] == row[s] + 1:
                     e += 1
                 t = texts[i][a + s : a + e]
                 lead = len(t) - len(t.lstrip())
-                found.setdefault(i, []).append(((int(row[s]) - 1) // 2, int(a + s + lead), int(a + e - (len(t) - len(t.rstrip()))), bool((s == 0 and before) or (e == len(row) and after))))
+                yield i, ((int(row[s]) - 1) // 2, int(a + s + lead), int(a + e - (len(t) - len(t.rstrip()))), bool((s == 0 and before) or (e == len(row) and after)))
+
+
+def find(texts: list[str | None], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each whole text; null counts as empty. Without a model both are the base."""
+    base = [sorted(base_spans(t)) if t else [] for t in texts]
+    if model is None:
+        return [(b, b) for b in base]
+    found: dict[int, list] = {}
+    jobs = [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
+    pad = WINDOW // 2
+    while jobs:
+        cut: dict[int, list] = {}
+        for i, span in _decoded(texts, jobs, model):
+            found.setdefault(i, []).append(span)
+            if span[3]:
+                cut.setdefault(i, []).append(span)
+        jobs = [(i, w) for i, spans in cut.items() for w in _wider(len(texts[i]), spans, found[i], base[i], pad)]
+        pad *= 2
     return [(b, reconcile(texts[i], b, found[i]) if i in found else b) for i, b in enumerate(base)]
 
 

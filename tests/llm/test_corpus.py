@@ -286,3 +286,21 @@ def test_paragraphs_beside_unrelated_heads(spark):
     assert not left and alike(x, y) >= 0.8
     got = {r.doc_id: r.n_removed for r in paragraph_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
     assert got[0] == 0 and got[1] == 26
+
+
+def test_pii_long_spans():
+    class Words:
+        """Tags every run without white space as an email."""
+
+        def decode(self, ids):
+            inside = (ids != pii.classes(" ")[0]) & (ids > 0)
+            first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+            return np.where(first, 1, np.where(inside, 2, 0)).astype(np.int8)
+
+    # beyond the margin on both sides of the at sign; longer than windows overlap; longer than any window; at the text's ends
+    for name in ("abcdefghijklmnopqrstuvwxyzab[@]" + "longdomain" * 4 + ".example.com", "a1b2" * 10 + "[@]x.org", "a1b2" * 60 + "[@]x.org", "q" * 500 + "[@]x.org"):
+        for before, after in (("some words go first ", " and some follow them"), ("", " and more"), ("more ", "")):
+            text = before + name + after
+            (base, every), (_, none) = pii.find([text, None], Words())
+            assert base == [] and every == [(0, len(before), len(before) + len(name))] and none == []
+            assert pii.redacted(text, every) == f"{before}[EMAIL]{after}"

@@ -312,27 +312,47 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, **build_op
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def audit(vectors: DataFrame, links: DataFrame, members: DataFrame, threshold: float = THRESHOLD, every: int = 50) -> DataFrame:
+def audit(vectors: DataFrame, links: DataFrame, members: DataFrame, threshold: float = THRESHOLD, every: int = 50, block: int = 4096) -> DataFrame:
     """One row: expected and found pairs (query, class), queries being the ids divisible by ``every``, and recall.
 
-    Queries meet all rows in blocks: at most 4,096 of them are sent to every task.
+    Queries meet all rows in blocks: at most ``block`` of them are sent to every task, one block after another.
     """
-    rows = _classes(vectors).where("cls is not null")
-    queries = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(4096).toArrow()
-    q = np.array([np.frombuffer(v.as_py(), np.float64) for v in queries.column("v")])
-    ids, names = queries.column("vec_id").to_pylist(), queries.column("cls").to_pylist()
+    rows = checkpointed(_classes(vectors).where("cls is not null"))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("cls").agg(F.first("v").alias("v"))
+    asked = checkpointed(asked)
+    expected, last = None, None
+    while True:
+        queries = (asked if last is None else asked.where(F.col("cls") > last)).orderBy("cls").limit(block).toArrow()
+        if last is not None and not queries.num_rows:
+            break
+        names = queries.column("cls").to_pylist()
+        now = checkpointed(rows.mapInArrow(_near(names, [np.frombuffer(v.as_py(), np.float64) for v in queries.column("v")], threshold), "a long, b long").distinct())
+        expected = now if expected is None else expected.union(now)
+        if len(names) < block:
+            break
+        last = names[-1]
+    found = links.union(links.select("b", "a")).withColumn("hit", F.lit(1))
+    return expected.join(found, ["a", "b"], "left").agg(F.count("*").alias("expected"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.when(F.col("expected") == 0, F.lit(1.0)).otherwise(F.col("found") / F.col("expected")))
+
+
+def _near(names: list[int], queries: list[np.ndarray], threshold: float):
+    """Of batches of (vec_id, cls, v): pairs (query's class, another class) at or above the threshold, of equal length."""
+    by_length = {n: ([k for k, v in zip(names, queries) if len(v) == n], np.array([v for v in queries if len(v) == n])) for n in {len(v) for v in queries}}
 
     def run(batches):
         for batch in batches:
-            x = np.array([np.frombuffer(v, np.float64) for v in batch.column(2).to_pylist()])
-            i, j = np.nonzero(q @ x.T >= threshold) if len(x) and len(q) else ([], [])
-            other = batch.column(1).to_pylist()
-            got = [(names[a], other[b]) for a, b in zip(i, j) if names[a] != other[b]]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
-
-    expected = rows.mapInArrow(run, "a long, b long").distinct()
-    found = links.union(links.select("b", "a")).withColumn("hit", F.lit(1))
-    return expected.join(found, ["a", "b"], "left").agg(F.count("*").alias("expected"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.when(F.col("expected") == 0, F.lit(1.0)).otherwise(F.col("found") / F.col("expected")))
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                other, data = part.column(1).to_pylist(), [np.frombuffer(v, np.float64) for v in part.column(2).to_pylist()]
+                got = set()
+                for n, (own, q) in by_length.items():
+                    same = [k for k, v in enumerate(data) if len(v) == n]
+                    if same:
+                        i, j = np.nonzero(q @ np.stack([data[k] for k in same]).T >= threshold)
+                        got.update((own[a], other[same[b]]) for a, b in zip(i, j) if own[a] != other[same[b]])
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def op4_embedding_graph(spark, sf_dir: str) -> DataFrame:

@@ -304,3 +304,15 @@ def test_pii_long_spans():
             (base, every), (_, none) = pii.find([text, None], Words())
             assert base == [] and every == [(0, len(before), len(before) + len(name))] and none == []
             assert pii.redacted(text, every) == f"{before}[EMAIL]{after}"
+
+
+def test_embeddings_audit(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(10, 16))
+    x = np.array([centres[i % 10] + rng.normal(size=16) * 0.05 for i in range(200)])
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (y @ y.T >= 0.95) & ~np.eye(200, dtype=bool)
+    members, links = embedding_graph.similar_vectors(rows, shard=60)
+    got = embedding_graph.audit(rows, links, members, every=5, block=8).first()  # five blocks of queries
+    assert got.expected == s[::5].sum() and got.found == got.expected and got.recall == 1

@@ -31,6 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that a checkpoint has replaced.
+
+    They go when the driver's last reference is collected, which otherwise may not happen before the job ends.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give freed memory back to the system at the end of a task: workers are used again, and keep what they don't return."""
     gc.collect()
@@ -170,6 +179,20 @@ def without_ids(docs: DataFrame, removed: DataFrame, column: str = "doc_id") ->
     return split(False).unionByName(split(True).join(removed.select(column).distinct(), column, "left_anti").select(*docs.columns))
 
 
+def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id may be among ``ids``: a bitmap spares a join's shuffle of others, the join must still follow."""
+    gate = rows.sparkSession.sparkContext.broadcast(IdFilter(ids, column))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index(column))
+            part = batch.filter(pa.array(gate.value.maybe(at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            if part.num_rows:
+                yield part
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 # --- packed arrays: numpy blobs shuffle at a fraction of the cost of rows -----------------------
 
 

@@ -14,11 +14,16 @@ One scan, then only packed arrays of token hashes move:
    only pairs within a group are indexed, a number linear in the size of the set. k grows with the size class (a power
    of two) of the larger set; a document that may meet sets of the next class is indexed for that one too.
    So any similar pair meets under a shared rare token, or else under a pair of frequent ones.
-5. Candidates are verified on their whole sets, near the sets of their block.
+5. A pair meets under many keys, but is a candidate only under the first one that both sets have, by hash. Each entry carries the ``LEAST`` first of its set's keys,
+   so most repeats are known where they meet; the rest meet again when pairs are made distinct. A key whose own pairs are very many is cut into jobs for pairs of parts of its list.
+6. Candidates are verified on their whole sets in blocks. A set's label is the least name among it and its candidates, and a
+   pair's block both labels: near copies of one original share a label, so their sets go to one block, not to
+   one per pair. Blocks of many sets or pairs are cut into a grid by both sides.
 
 Documents with equal sets form one class, which is indexed and verified once; a class's links count with
 the number of its documents. Tokens are 48-bit hashes: a collision within a pair of sets, which would
-change its count by one, has odds below 1e-8.
+change its count by one, has odds below 1e-8. Keys are 48-bit hashes too: that two different first ones look alike, which
+may lose a pair, has odds below 1e-13 a pair.
 """
 
 from __future__ import annotations
@@ -29,14 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_sorted, mix64, partitions, planes, release, table, text_rows, unplanes, without_ids, word_hashes
+from .common import checkpointed, distinct_sorted, freed, mix64, partitions, planes, release, table, text_rows, unplanes, with_ids, without_ids, word_hashes
 from .graph import components
 
 PERCENT = 70
 FREQUENT = 32  # documents from which on a token counts as frequent
 ID_BITS = 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HOT_BLOCK = 500_000
+LEAST = 4  # first keys that an entry carries
+_HOT_BLOCK = 250_000  # pairs of a block's cell, about
+_BLOCK_BYTES = 32 << 20  # of the sets of a block's cell on one side
+_HOT_KEY = 4_000_000  # pairs of one key that a task enumerates
+_PART = 2_048  # members of a part of such a key's list
+_HOT_TOKEN = 32  # documents of a flush from which on a token's owners stay with the flush
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -78,8 +88,8 @@ def shared_needed(c: int, percent: int) -> int:
     return max(1, min(k, least_shared(1 << c, percent)))
 
 
-def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(index keys, the first two rare tokens in the global order, or 0) of a set of n tokens.
+def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> np.ndarray:
+    """Index keys of a set of n tokens, in order.
 
     tokens, df: its shareable tokens in the global order; the n - len(tokens) others come before them.
     """
@@ -107,12 +117,17 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int = PERCEN
                 break
             u, v = tail[:-step][same], tail[step:][same]
             out.append(mix64(u * _A + v * _B + np.uint64(c)) >> np.uint64(64 - ID_BITS))
-    first = np.zeros(2, np.uint64)
-    first[: min(2, len(singles))] = singles[:2]
-    return np.concatenate(out), first
+    return distinct_sorted(np.concatenate(out))
 
 
-TOKENS, MEMBERS = 0, 1
+def first_keys(keys: np.ndarray) -> np.ndarray:
+    """The ``LEAST`` least of a set's keys in order, filled up with 0."""
+    out = np.zeros(LEAST, np.uint64)
+    out[: min(LEAST, len(keys))] = keys[:LEAST]
+    return out
+
+
+TOKENS, MEMBERS, OWNERS, COUNTS = 0, 3, 2, 1  # rows of a flush go in falling order
 _FLUSH = 1_000_000  # tokens, or
 _FLUSH_DOCS = 30_000  # documents that a task gathers before it sends
 _ROW = "g int, f long, kind byte, blob binary"
@@ -129,12 +144,27 @@ def _bits(n: int) -> int:
     return max(8, (4 * n - 1).bit_length())
 
 
-def _cut(tokens: np.ndarray, low: int, bits: int) -> np.ndarray:
-    return np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
+def _groups(tokens: np.ndarray, low: int, bits: int):
+    """(g, slice) of each group that sorted tokens have."""
+    cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(low))
+    for g in np.flatnonzero(np.diff(cuts)):
+        yield int(g), slice(cuts[g], cuts[g + 1])
+
+
+def _packed(tokens: np.ndarray, low: int) -> bytes:
+    """Differences of the sorted tokens of one group."""
+    return planes(np.diff(tokens & np.uint64((1 << low) - 1), prepend=np.uint64(0)), 5)
+
+
+def _unpacked(raw: bytes, g: int, low: int) -> np.ndarray:
+    return np.cumsum(unplanes(raw, 5), dtype=np.uint64) + (np.uint64(g) << np.uint64(low))
 
 
 def _scan(batches, width: int, bits: int):
-    """Per flush f: token rows of every group g, and one row of members (null, doc_id, class, n, number in f)."""
+    """Per flush f: token rows of every group g, and one row of members (null, doc_id, class, n, number in f).
+
+    Of a token that many sets of the flush have, the group only gets their number; one row keeps the owners for the flush.
+    """
     low = ID_BITS - bits
     task = TaskContext.get().partitionId()
     flushes = 0
@@ -147,11 +177,17 @@ def _scan(batches, width: int, bits: int):
             owner = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(x) for x in sets])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            cuts = _cut(tokens, low, bits)
-            mask = np.uint64((1 << low) - 1)
-            for g in np.flatnonzero(np.diff(cuts)):
-                at = slice(cuts[g], cuts[g + 1])
-                rows.append((int(g), f, TOKENS, planes(np.diff(tokens[at] & mask, prepend=np.uint64(0)), 5) + planes(owner[at], 2)))
+            start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            count = np.diff(np.append(start, len(tokens)))
+            many = count >= _HOT_TOKEN
+            if many.any():
+                hot, times, inside = tokens[start[many]], count[many].astype(np.uint64), np.repeat(many, count)
+                rows.append((rows[0][0], f, OWNERS, np.array([len(hot)], np.int64).tobytes() + planes(hot, 6) + planes(times, 4) + planes(owner[inside], 2)))
+                for g, at in _groups(hot, low, bits):
+                    rows.append((g, f, COUNTS, _packed(hot[at], low) + planes(times[at], 4)))
+                tokens, owner = tokens[~inside], owner[~inside]
+            for g, at in _groups(tokens, low, bits):
+                rows.append((g, f, TOKENS, _packed(tokens[at], low) + planes(owner[at], 2)))
         yield from _rows(rows)
 
     sets, members, size, number = [], [], 0, {}
@@ -175,32 +211,33 @@ def _scan(batches, width: int, bits: int):
 
 
 def _frequencies(batches, bits: int):
-    """Of rows in order of g: members pass; of tokens, those in two or more sets go back to their flush, with their frequency."""
+    """Of rows in order of g: members and owners pass; tokens in two or more sets go back to their flush, with their frequency."""
     low = ID_BITS - bits
 
     def solve(g, held):
-        tokens, owner, flush = [], [], []
-        for i, (_, raw) in enumerate(held):
-            n = len(raw) // 7
-            tokens.append(np.cumsum(unplanes(raw[: 5 * n], 5), dtype=np.uint64))
-            owner.append(unplanes(raw[5 * n :], 2))
+        tokens, owner, times, flush = [], [], [], []
+        for i, (_, kind, raw) in enumerate(held):
+            width = 2 if kind == TOKENS else 4
+            n = len(raw) // (5 + width)
+            tokens.append(_unpacked(raw[: 5 * n], g, low))
+            rest = unplanes(raw[5 * n :], width)
+            owner.append(rest)
+            times.append(np.ones(n, np.int64) if kind == TOKENS else rest.astype(np.int64))
             flush.append(np.full(n, i, np.int64))
-        tokens, owner, flush = np.concatenate(tokens), np.concatenate(owner), np.concatenate(flush)
+        tokens, owner, times, flush = np.concatenate(tokens), np.concatenate(owner), np.concatenate(times), np.concatenate(flush)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner, flush = tokens[order], owner[order], flush[order]
+        tokens, owner, times, flush = tokens[order], owner[order], times[order], flush[order]
         start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        df = np.diff(np.append(start, len(tokens)))
-        df = np.repeat(df, df)
+        df = np.repeat(np.add.reduceat(times, start), np.diff(np.append(start, len(tokens))))
         keep = df > 1
         tokens, owner, flush, df = tokens[keep], owner[keep], flush[keep], np.minimum(df[keep], 65535).astype(np.uint64)
         order = np.argsort(flush, kind="stable")
         tokens, owner, flush, df = tokens[order], owner[order], flush[order], df[order]
         cuts = np.searchsorted(flush, np.arange(len(held) + 1))
-        base = np.uint64(g) << np.uint64(low)
         rows = []
         for i in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[i], cuts[i + 1])
-            rows.append((g, held[i][0], TOKENS, planes(tokens[at] + base, 6) + planes(owner[at], 2) + planes(df[at], 2)))
+            at, (f, kind, _) = slice(cuts[i], cuts[i + 1]), held[i]
+            rows.append((g, f, kind, _packed(tokens[at], low) + (planes(owner[at], 2) if kind == TOKENS else b"") + planes(df[at], 2)))
         yield from _rows(rows)
 
     now, held = None, []
@@ -210,10 +247,10 @@ def _frequencies(batches, bits: int):
                 yield from solve(now, held)
                 held = []
             now = g
-            if kind == MEMBERS:
+            if kind in (MEMBERS, OWNERS):
                 yield from _rows([(g, f, kind, raw)])
             else:
-                held.append((f, raw))
+                held.append((f, kind, raw))
     if held:
         yield from solve(now, held)
     release()
@@ -222,22 +259,39 @@ def _frequencies(batches, bits: int):
 _SETS = "doc_id long, cls long, n long, whole binary"
 
 
-def _sets(batches, percent: int):
+def _sets(batches, percent: int, bits: int):
     """Of rows in order of f, members first: one row per member, with its shareable set if that is large enough to be similar to another.
 
     Of the members of one class only the first has the set. whole: tokens in the global order, then frequencies.
     """
+    low = ID_BITS - bits
 
     def solve(members, blobs):
         rows = []
         sets = {}
         if blobs:
-            tokens, owner, df = [], [], []
-            for raw in blobs:
-                k = len(raw) // 10
-                tokens.append(unplanes(raw[: 6 * k], 6))
-                owner.append(unplanes(raw[6 * k : 8 * k], 2))
-                df.append(unplanes(raw[8 * k :], 2))
+            tokens, owner, df, hot, hot_df = [], [], [], [], []
+            for g, kind, raw in blobs:
+                if kind == TOKENS:
+                    k = len(raw) // 9
+                    tokens.append(_unpacked(raw[: 5 * k], g, low))
+                    owner.append(unplanes(raw[5 * k : 7 * k], 2))
+                    df.append(unplanes(raw[7 * k :], 2))
+                elif kind == COUNTS:
+                    k = len(raw) // 7
+                    hot.append(_unpacked(raw[: 5 * k], g, low))
+                    hot_df.append(unplanes(raw[5 * k :], 2))
+            for _, kind, raw in blobs:
+                if kind == OWNERS:
+                    k = int(np.frombuffer(raw, np.int64, 1)[0])
+                    names, times = unplanes(raw[8 : 8 + 6 * k], 6), unplanes(raw[8 + 6 * k : 8 + 10 * k], 4).astype(np.int64)
+                    known, counts = np.concatenate(hot), np.concatenate(hot_df)
+                    order = np.argsort(known)
+                    tokens.append(np.repeat(names, times))
+                    owner.append(unplanes(raw[8 + 10 * k :], 2))
+                    df.append(np.repeat(counts[order][np.searchsorted(known[order], names)], times))
+            if not tokens:
+                tokens, owner, df = ([np.empty(0, np.uint64)] for _ in range(3))
             tokens, owner, df = np.concatenate(tokens), np.concatenate(owner).astype(np.int64), np.concatenate(df)
             count = np.bincount(owner)
             size = np.zeros(len(count), np.int64)
@@ -260,7 +314,7 @@ def _sets(batches, percent: int):
 
     now, members, blobs = None, np.empty((0, 5), np.int64), []
     for batch in batches:
-        for f, kind, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        for g, f, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if f != now and now is not None:
                 yield from solve(members, blobs)
                 members, blobs = np.empty((0, 5), np.int64), []
@@ -268,7 +322,7 @@ def _sets(batches, percent: int):
             if kind == MEMBERS:
                 members = np.frombuffer(raw, np.int64).reshape(-1, 5)
             else:
-                blobs.append(raw)
+                blobs.append((g, kind, raw))
     if now is not None:
         yield from solve(members, blobs)
     release()
@@ -282,7 +336,7 @@ def unpack(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _index(batches, percent: int, frequent: int, n: int):
     """(p, blob) rows: for every partition of keys the sets' entries."""
 
-    def blob(entries: list[tuple[int, int, np.ndarray, np.ndarray]]):
+    def blob(entries: list[tuple[int, int, np.ndarray]]):
         keys = np.concatenate([e[2] for e in entries])
         owner = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
         where = (keys * _A >> np.uint64(33)) % np.uint64(n)
@@ -290,7 +344,7 @@ def _index(batches, percent: int, frequent: int, n: int):
         keys, owner, where = keys[order], owner[order], where[order]
         names = np.array([e[0] for e in entries], np.uint64)
         sizes = np.array([e[1] for e in entries], np.uint64)
-        firsts = np.stack([e[3] for e in entries])
+        firsts = np.stack([first_keys(e[2]) for e in entries])
         cuts = np.searchsorted(where, np.arange(n + 1))
         ps, blobs = [], []
         for p in np.flatnonzero(np.diff(cuts)):
@@ -300,15 +354,15 @@ def _index(batches, percent: int, frequent: int, n: int):
             counts = np.diff(np.append(starts, len(o))).astype(np.uint64)
             head = np.array([len(d), len(o)], np.uint64).tobytes()
             ps.append(int(p))
-            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d, 0], 6) + planes(firsts[d, 1], 6) + planes(keys[cuts[p] : cuts[p + 1]], 6))
+            blobs.append(head + planes(names[d], 8) + planes(sizes[d], 4) + planes(counts, 4) + planes(firsts[d].ravel(), 6) + planes(keys[cuts[p] : cuts[p + 1]], 6))
         for at in range(0, len(ps), 32):
             yield pa.RecordBatch.from_arrays([pa.array(ps[at : at + 32], pa.int32()), pa.array(blobs[at : at + 32], pa.binary())], ["p", "blob"])
 
     entries, size = [], 0
     for batch in batches:
         for name, m, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keys, first = signatures(m, *unpack(whole), percent, frequent)
-            entries.append((name, m, keys, first))
+            keys = signatures(m, *unpack(whole), percent, frequent)
+            entries.append((name, m, keys))
             size += len(keys)
             if size > 2_000_000:
                 yield from blob(entries)
@@ -318,53 +372,107 @@ def _index(batches, percent: int, frequent: int, n: int):
     release()
 
 
+def _apart(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of pairs with first keys x and y that share the key ``place``: whether they share no earlier one."""
+    ok = np.ones(len(x), bool)
+    for i in range(LEAST):
+        mine = x[:, i]
+        low = (mine > 0) & (mine < place)
+        for j in range(LEAST):
+            ok &= ~(low & (mine == y[:, j]))
+    return ok
+
+
+def _alike(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
+
+
+def _kinds(first: np.ndarray, place: int) -> tuple[list[np.ndarray], list[int]]:
+    """Members of a key's list by what earlier first keys they have in common with others: (members, bits) of each kind."""
+    early = np.where((first > 0) & (first < place), first, 0)
+    values, back, counts = np.unique(early, return_inverse=True, return_counts=True)
+    back = back.reshape(early.shape)
+    bit = np.full(len(values), -1)
+    known = np.flatnonzero((counts > 1) & (values > 0))
+    bit[known] = np.arange(len(known))
+    row = np.sort(bit[back], axis=1)
+    kinds, member = np.unique(row, axis=0, return_inverse=True)
+    order = np.argsort(member.ravel(), kind="stable")
+    cuts = np.searchsorted(member.ravel()[order], np.arange(len(kinds) + 1))
+    return [order[cuts[i] : cuts[i + 1]] for i in range(len(kinds))], [sum(1 << int(b) for b in k if b >= 0) for k in kinds]
+
+
+def _list_pairs(first: np.ndarray, place: int):
+    """(i, j) arrays, i before j in the list, of the members of one key that share no earlier key; and how many in all.
+
+    Kinds of members that share an earlier first key are passed over as a whole.
+    """
+    members, bits = _kinds(first, place)
+    whole = [(i, j) for i in range(len(bits)) for j in range(i, len(bits)) if not bits[i] & bits[j]]
+    return members, whole, sum(len(members[i]) * len(members[j]) if i != j else len(members[i]) * (len(members[i]) - 1) // 2 for i, j in whole)
+
+
+def _blocks(x: np.ndarray, y: np.ndarray, same: bool, most: int = 1_000_000):
+    """All pairs of x and y (or within x), in arrays of bounded length."""
+    if same:
+        for at in range(0, len(x) - 1, max(1, most // len(x))):
+            i = np.arange(at, min(at + max(1, most // len(x)), len(x) - 1))
+            many = len(x) - 1 - i
+            a = np.repeat(i, many)
+            yield x[a], x[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + a + 1]
+        return
+    for at in range(0, len(x), max(1, most // len(y))):
+        part = x[at : at + max(1, most // len(y))]
+        yield np.repeat(part, len(y)), np.tile(y, len(part))
+
+
 def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
-    """Pairs of documents (a, b) that share a key, each under the first shared of their leading tokens.
+    """Pairs of documents (a, b) that share a key and no earlier first one; of too large keys, (its members, the key).
 
-    key, doc: entries in order of (key, doc) without repeats. A pair whose leading rare tokens meet is
-    left to the key of the first such token, as it surely comes up there. Sizes too far apart are dropped.
+    key, doc: entries in order of (key, doc) without repeats. Sizes too far apart are dropped.
     """
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length = np.diff(start)
-
-    def keep(a: np.ndarray, b: np.ndarray, k: np.ndarray):
-        na, nb = size[a], size[b]
-        ok = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-        a, b, k = a[ok], b[ok], k[ok]
-        a0, a1, b0, b1 = first[a, 0], first[a, 1], first[b, 0], first[b, 1]
-        z = np.uint64(0)
-        meet = np.where((a0 == b0) & (a0 > z), a0, np.where((a1 == b0) & (a1 > z), a1, np.where((a0 == b1) & (a0 > z), a0, np.where((a1 == b1) & (a1 > z), a1, z))))
-        ok = (meet == z) | (meet == k)
-        return a[ok], b[ok]
-
+    place = key[start[:-1]]
     for m in np.unique(length):
         if m < 2:
             continue
-        runs = start[:-1][length == m]
-        if m <= 32:
-            for at in range(0, len(runs), 100_000):
-                r = runs[at : at + 100_000]
+        which = np.flatnonzero(length == m)
+        if m <= 16:
+            for at in range(0, len(which), 100_000):
+                w = which[at : at + 100_000]
+                r = start[w]
                 for i in range(m - 1):
                     for j in range(i + 1, m):
-                        yield keep(doc[r + i], doc[r + j], key[r])
+                        a, b = doc[r + i], doc[r + j]
+                        ok = np.flatnonzero(_alike(size[a], size[b], percent))
+                        ok = ok[_apart(first[a[ok]], first[b[ok]], place[w[ok]])]
+                        yield a[ok], b[ok], None
         else:
-            for r in runs:
-                members = doc[r : r + m]
-                rows = max(1, 2_000_000 // m)
-                for at in range(0, m - 1, rows):
-                    i = np.arange(at, min(at + rows, m - 1))
-                    many = m - 1 - i
-                    a = np.repeat(i, many)
-                    b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + a + 1
-                    yield keep(members[a], members[b], np.full(len(a), key[r]))
+            for w in which:
+                list_ = doc[start[w] : start[w] + m]
+                members, whole, many = _list_pairs(first[list_], int(place[w]))
+                if many > _HOT_KEY:
+                    yield list_, None, int(place[w])
+                    continue
+                for i, j in whole:
+                    for a, b in _blocks(list_[members[i]], list_[members[j]], i == j):
+                        ok = _alike(size[a], size[b], percent)
+                        yield np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), None
 
 
-def _meet(batches, percent: int):
-    """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, block)."""
+_MET = "a long, b long, na int, nb int, i int, j int, job binary"
+
 
-    def emit(*columns):
-        for at in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in columns], ["a", "b", "block"])
+def _met_rows(a, b, na, nb):
+    for at in range(0, len(a), 100_000):
+        part = slice(at, at + 100_000)
+        no, n = pa.nulls(len(a[part]), pa.int32()), len(a[part])
+        yield pa.RecordBatch.from_arrays([pa.array(a[part].astype(np.int64)), pa.array(b[part].astype(np.int64)), pa.array(na[part].astype(np.int32)), pa.array(nb[part].astype(np.int32)), no, no, pa.nulls(n, pa.binary())], ["a", "b", "na", "nb", "i", "j", "job"])
+
+
+def _meet(batches, percent: int):
+    """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, their sizes), or to jobs for pairs of parts."""
 
     def solve(blobs):
         cls, size, first, owner, key = [], [], [], [], []
@@ -373,14 +481,14 @@ def _meet(batches, percent: int):
             d, e = (int(x) for x in np.frombuffer(raw, np.uint64, 2))
             at = 16
             got = []
-            for w, k in ((8, d), (4, d), (4, d), (6, d), (6, d), (6, e)):
+            for w, k in ((8, d), (4, d), (4, d), (6, LEAST * d), (6, e)):
                 got.append(unplanes(raw[at : at + w * k], w))
                 at += w * k
             cls.append(got[0])
             size.append(got[1])
-            first.append(np.stack([got[3], got[4]], 1))
+            first.append(got[3].reshape(-1, LEAST))
             owner.append(np.repeat(np.arange(docs, docs + d), got[2].astype(np.int64)))
-            key.append(got[5])
+            key.append(got[4])
             docs += d
         cls, size, first = np.concatenate(cls), np.concatenate(size).astype(np.int64), np.concatenate(first)
         owner, key = np.concatenate(owner), np.concatenate(key)
@@ -395,12 +503,17 @@ def _meet(batches, percent: int):
 
         def flush():
             both = np.unique(np.concatenate(held))
-            a, b = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-            a, b = a.astype(np.int64), b.astype(np.int64)
-            return emit(u[a], u[b], first[a, 0])
-
-        for a, b in _candidates(key, doc, size, first, percent):
-            if len(a):
+            a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            return _met_rows(u[a], u[b], size[a], size[b])
+
+        for a, b, hot in _candidates(key, doc, size, first, percent):
+            if hot is not None:
+                parts = [a[k : k + _PART] for k in range(0, len(a), _PART)]
+                packed = [np.array([hot, len(x)], np.uint64).tobytes() + planes(u[x], 8) + planes(size[x].astype(np.uint64), 4) + planes(first[x].ravel(), 6) for x in parts]
+                for i in range(len(parts)):
+                    for j in range(i, len(parts)):
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip((None, None, None, None, i, j), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))), pa.array([packed[i] + (packed[j] if i < j else b"")], pa.binary())], ["a", "b", "na", "nb", "i", "j", "job"])
+            elif len(a):
                 held.append(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
                 count += len(a)
                 if count > 3_000_000:
@@ -422,6 +535,34 @@ def _meet(batches, percent: int):
     release()
 
 
+def _work(batches, percent: int):
+    """Jobs of too large keys: the candidate pairs of two parts of a key's list."""
+    for batch in batches:
+        for i, j, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            parts, at = [], 0
+            while at < len(raw):
+                place, n = (int(x) for x in np.frombuffer(raw, np.uint64, 2, at))
+                at += 16
+                got = []
+                for w, k in ((8, n), (4, n), (6, LEAST * n)):
+                    got.append(unplanes(raw[at : at + w * k], w))
+                    at += w * k
+                parts.append((got[0], got[1].astype(np.int64), got[2].reshape(-1, LEAST)))
+            own = len(parts[0][0])
+            name, size, first = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            members, whole, _ = _list_pairs(first, place)
+            for k, m in whole:
+                for a, b in _blocks(members[k], members[m], k == m):
+                    ok = _alike(size[a], size[b], percent)
+                    if i < j:  # pairs within one part are another job's
+                        ok &= (a < own) != (b < own)
+                    a, b = a[ok], b[ok]
+                    swap = name[a] > name[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    yield from _met_rows(name[a], name[b], size[a], size[b])
+    release()
+
+
 def _verify(batches, percent: int):
     """Of rows in order of (block, kind): sets first, then the pairs to check."""
     now, sets = None, {}
@@ -454,22 +595,36 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     bits = _bits(n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scan(b, width, bits), _ROW)
     rows = rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _frequencies(b, bits), _ROW)
-    rows = rows.repartition(n, "f").sortWithinPartitions("f", F.desc("kind")).mapInArrow(lambda b: _sets(b, percent), _SETS)
-    found = checkpointed(rows)
+    found = checkpointed(rows.repartition(n, "f").sortWithinPartitions("f", F.desc("kind")).mapInArrow(lambda b: _sets(b, percent, bits), _SETS))
+    del rows
+    freed(docs.sparkSession)
     members = found.select("doc_id", "cls", F.col("n").alias("n_shingles"))
     # a class may come from several flushes, with the same set
     sets = found.where("whole is not null").select("cls", "n", "whole")
     index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
-    met = index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), "a long, b long, block long")
-    pairs = checkpointed(met.groupBy("a", "b").agg(F.min("block").alias("block")))
-    # a block with very many pairs is cut into a grid by both sides
-    hot = pairs.groupBy("block").agg(F.count("*").alias("c")).where(f"c > {_HOT_BLOCK}").select(F.col("block").alias("hot"), F.ceil(F.sqrt(F.col("c") / _HOT_BLOCK)).alias("side"))
+    met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), _MET).distinct())
+    freed(docs.sparkSession)
+    pairs = met.where("job is null").select("a", "b", "na", "nb")
+    jobs = met.where("job is not null").select("i", "j", "job")
+    if not jobs.isEmpty():
+        pairs = checkpointed(pairs.union(jobs.repartition(n).mapInArrow(lambda b: _work(b, percent), _MET).select("a", "b", "na", "nb")).distinct())
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    named = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    named = named.select("a", "b", "na", "nb", F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")).alias("block"))
+    # a block with many pairs or large sets is cut into a grid by both sides
+    sides = named.select("block", F.col("a").alias("cls"), F.col("na").alias("n")).union(named.select("block", F.col("b").alias("cls"), F.col("nb").alias("n")))
+    weight = sides.groupBy("block", "cls").agg(F.max("n").alias("n"), F.count("*").alias("c")).groupBy("block").agg(F.sum(8 * F.col("n")).alias("bytes"), (F.sum("c") / 2).alias("c"))
+    side = F.ceil(F.greatest(F.sqrt(F.col("c") / _HOT_BLOCK), F.col("bytes") / _BLOCK_BYTES))
+    hot = weight.where((F.col("c") > _HOT_BLOCK) | (F.col("bytes") > _BLOCK_BYTES)).select(F.col("block").alias("hot"), side.alias("side"))
     side = F.coalesce(F.col("side"), F.lit(1))
-    pairs = pairs.join(F.broadcast(hot), F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j"))
-    needed = pairs.select("block", "i", "j", F.col("a").alias("cls")).union(pairs.select("block", "i", "j", F.col("b").alias("cls"))).distinct()
+    placed = named.join(hot, F.col("block") == F.col("hot"), "left").select("a", "b", "block", F.pmod(F.xxhash64("a"), side).cast("int").alias("i"), F.pmod(F.xxhash64("b"), side).cast("int").alias("j"))
+    placed = checkpointed(placed)
+    needed = placed.select("block", "i", "j", F.col("a").alias("cls")).union(placed.select("block", "i", "j", F.col("b").alias("cls"))).distinct()
+    paired = with_ids(sets, labels.select(F.col("node").alias("cls")), "cls")
     no = F.lit(None)
-    rows = needed.join(sets, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
-    rows = rows.unionByName(pairs.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
+    rows = needed.join(paired, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
+    rows = rows.unionByName(placed.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
     links = rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
     return members, checkpointed(links)
 

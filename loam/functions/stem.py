@@ -11,7 +11,7 @@ from pyspark.sql import types as ty
 
 _V = "aeiouy"
 _DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_WHOLE = {"skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_WHOLE = {"skis": "ski", "dying": "die", "lying": "lie", "tying": "tie", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 _KEPT = frozenset("sky news howe atlas cosmos bias andes".split())
 _KEPT_1A = frozenset("inning outing canning herring earring proceed exceed succeed".split())
 _STEP2 = sorted({"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less"}.items(), key=lambda x: -len(x[0]))

@@ -34,12 +34,23 @@ def content_hash(title: Column, headings: Column, content: Column) -> Column:
 
 
 def cache_key(query: Column) -> Column:
+    """Of a result cache."""
     return F.lower(query)
 
 
+def embedding_key(text: Column) -> Column:
+    """Of an embedding cache."""
+    return F.sha2(text, 256)
+
+
 def embedding_text(title: Column, content: Column) -> Column:
-    """What is embedded: title and content, 2,000 characters at most, trimmed."""
-    return F.trim(F.substring(F.concat_ws(" ", title, content), 1, 2000))
+    """What is embedded: title and content, cut to 2,000 characters, then to 2,000 bytes at a character's end, trimmed."""
+    text = F.substring(F.concat_ws(" ", title, content), 1, 2000)
+    cut = F.encode(text, "UTF-8")
+    last = lambda k: (F.conv(F.hex(F.substring(cut, k, 1)), 16, 10).cast("int"))
+    # a byte after the cut that continues a character (10xxxxxx) means that the character goes as a whole
+    back = F.when(last(2001).bitwiseAND(0xC0) != 0x80, 0).when(last(2000).bitwiseAND(0xC0) != 0x80, 1).when(last(1999).bitwiseAND(0xC0) != 0x80, 2).otherwise(3)
+    return F.trim(F.when(F.octet_length(text) <= 2000, text).otherwise(F.decode(F.substring(cut, F.lit(1), 2000 - back), "UTF-8")))
 
 
 def snippet(content: Column, query_tokens: Column, context: int = 20) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +43,51 @@ def upsert_pages(pages: DataFrame, batch: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("crawled_at"), F.desc("__seq"), F.desc("id")))).where("__n = 1").drop("__n", "__seq")
 
 
-def rate_limits(requests: DataFrame) -> DataFrame:
+def after(errors: int, delay: int, status: int) -> tuple[int, int]:
+    """(errors, delay) after one answer.
+
+    Retryable errors double the delay up to the cap. A success after errors clears their count and leaves the delay; a further one
+    halves it, down to the base. Other codes change nothing.
+    """
+    if status in (403, 429) or 500 <= status <= 599:
+        return errors + 1, min(delay * 2, MOST_DELAY)
+    if 200 <= status <= 299:
+        return 0, delay if errors else max(delay // 2, BASE_DELAY)
+    return errors, delay
+
+
+def rate_limits(requests: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(domain, error_count, delay, last_request_time) after all requests of each domain, in order.
 
-    requests: domain, at (ms), seq, status. Retryable errors double the delay up to the cap. A success after errors
-    clears their count and leaves the delay; a further one halves it, down to the base. Other codes change nothing.
+    requests: domain, at (ms), seq, status; before: domain, errors, delay to begin with, one row a domain (none: no errors, base delay).
+    A task streams through its domains' requests in order and holds one state, however long a domain's history is. Null domains are
+    left out.
     """
-    step = lambda s, x: F.struct(
-        F.when(retryable(x["status"]), s["errors"] + 1).when(x["status"].between(200, 299), F.lit(0)).otherwise(s["errors"]).alias("errors"),
-        F.when(retryable(x["status"]), F.least(s["delay"] * 2, F.lit(MOST_DELAY)))
-        .when(x["status"].between(200, 299) & (s["errors"] == 0), F.greatest(F.expr("0") + (s["delay"] / 2).cast("int"), F.lit(BASE_DELAY)))
-        .otherwise(s["delay"])
-        .alias("delay"),
-    )
-    start = F.struct(F.lit(0).alias("errors"), F.lit(BASE_DELAY).alias("delay"))
-    log = requests.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "status"))).alias("log"))
-    return log.withColumn("s", F.aggregate("log", start, step)).select("domain", F.col("s.errors").alias("error_count"), F.col("s.delay").alias("delay"), F.array_max(F.transform("log", lambda x: x["at"])).alias("last_request_time"))
+    if before is None:
+        rows = requests.select("domain", "at", "seq", "status", F.lit(0).alias("errors"), F.lit(BASE_DELAY).alias("delay"))
+    else:
+        rows = requests.join(before.select("domain", "errors", "delay"), "domain", "left").select("domain", "at", "seq", "status", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("delay", F.lit(BASE_DELAY)).alias("delay"))
+    rows = rows.where("domain is not null").select("domain", F.col("at").cast("long").alias("at"), "seq", F.col("status").cast("int").alias("status"), F.col("errors").cast("int").alias("errors"), F.col("delay").cast("int").alias("delay"))
+
+    def fold(batches):
+        now: tuple | None = None  # domain, errors, delay, last
+        for batch in batches:
+            done = []
+            for domain, at, status, errors, delay in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))):
+                if now is None or now[0] != domain:
+                    if now is not None:
+                        done.append(now)
+                    now = (domain, errors, delay, at)
+                now = (domain, *after(now[1], now[2], status), max(now[3], at))
+            yield _states(done)
+        if now is not None:
+            yield _states([now])
+
+    return rows.repartition("domain").sortWithinPartitions("domain", "at", "seq").mapInArrow(fold, "domain string, error_count int, delay int, last_request_time long")
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["domain", "error_count", "delay", "last_request_time"])
 
 
 def wait_ms(last: Column, delay: Column, now: Column) -> Column:
@@ -80,8 +110,10 @@ def links_of(pages: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def parse_pages(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Parsed pages of more than ``least`` characters."""
+def parse_pages(pages: DataFrame, least: int = 100, limit: int | None = None) -> DataFrame:
+    """Parsed pages of more than ``least`` characters; with ``limit``, at most so many of them, those of least page_id."""
     from ..functions.page import parse_page_udf
 
-    return pages.where(F.length("html") > least).select("page_id", "url", parse_page_udf(F.col("html")).alias("p")).select("page_id", "url", "p.*")
+    long = pages.where(F.length("html") > least)
+    long = long if limit is None else long.orderBy("page_id").limit(limit)
+    return long.select("page_id", "url", parse_page_udf(F.col("html")).alias("p")).select("page_id", "url", "p.*")

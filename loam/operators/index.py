@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..sources.files import read_whole, write_whole
+from .common import numbered
 
 FIELDS = ("title", "headings", "url", "body")
 DEFAULT_RANK = 1e-6
@@ -19,6 +22,7 @@ DOCUMENT = "doc_id long, url string, title string, word_count long, content stri
 class Index:
     documents: DataFrame
     postings: DataFrame
+    vocabulary: DataFrame | None = None  # (term, df), where it is stored
     _totals: tuple[int, float] | None = field(default=None, repr=False)
 
     def stats(self) -> DataFrame:
@@ -34,16 +38,41 @@ class Index:
         return self._totals
 
     def terms(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df): the stored table, or counted from the postings."""
+        return self.vocabulary if self.vocabulary is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def save(self, path: str) -> None:
-        """Postings are sorted by term inside files, so that row groups can be skipped."""
+        """Postings and terms are sorted by term inside files, so that row groups can be skipped."""
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.documents.sparkSession.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "terms")))
+
+    def save_version(self, root: str, version: int | None = None) -> int:
+        """Write beside the current version, then name the new one as current: readers see one or the other."""
+        now = current_version(root)
+        version = (now or 0) + 1 if version is None else version
+        self.save(f"{root}/v{version}")
+        write_whole(f"{root}/CURRENT", json.dumps({"version": version}).encode())
+        return version
+
+    @staticmethod
+    def load_current(spark: SparkSession, root: str) -> Index | None:
+        now = current_version(root)
+        return None if now is None else Index.load(spark, f"{root}/v{now}")
+
+    @staticmethod
+    def empty(spark: SparkSession) -> Index:
+        return build(spark.createDataFrame([], "doc_id long, url string, title string, content string, headings array<string>, word_count long"), allow_duplicates=True)
+
+
+def current_version(root: str) -> int | None:
+    raw = read_whole(f"{root}/CURRENT")
+    return None if raw is None else json.loads(raw)["version"]
 
 
 def prepare(pages: DataFrame, now: Column | None = None) -> DataFrame:
@@ -67,13 +96,17 @@ def prepare(pages: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """(term, doc_id, title, headings, url, body): how often each field of a document has the term. One shuffle, combined on the map side."""
+    """(term, doc_id, title, headings, url, body, doc_length, pagerank): how often each field of a document has the term.
+
+    What ranking needs of the document goes with each posting, so that a search reads postings only. Terms of a document are counted
+    where it is read: one field's words are combined before the one shuffle.
+    """
     of_field = lambda name, c: F.transform(T.tokens(c), lambda w: F.struct(w.alias("term"), F.lit(name).alias("field")))
     every = F.concat(of_field("title", F.col("title")), of_field("headings", F.array_join("headings", " ")), of_field("url", F.col("url")), of_field("body", F.col("content")))
-    rows = docs.select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.term", "t.field")
+    rows = docs.select("doc_id", "doc_length", "pagerank", F.explode(every).alias("t")).select("doc_id", "doc_length", "pagerank", "t.term", "t.field")
     if stem:
         rows = T.stemmed(rows, "term")
-    return rows.groupBy("term", "doc_id").agg(*[F.count_if(F.col("field") == f).cast("int").alias(f) for f in FIELDS])
+    return rows.groupBy("term", "doc_id").agg(*[F.count_if(F.col("field") == f).cast("int").alias(f) for f in FIELDS], F.max("doc_length").alias("doc_length"), F.max("pagerank").alias("pagerank"))
 
 
 def build(pages: DataFrame, ranks: DataFrame | None = None, stem: bool = False, now: Column | None = None, allow_duplicates: bool = False) -> Index:
@@ -87,22 +120,23 @@ def build(pages: DataFrame, ranks: DataFrame | None = None, stem: bool = False,
 
 
 def upsert(index: Index, incoming: DataFrame, stem: bool = False, now: Column | None = None) -> tuple[Index, DataFrame]:
-    """(new index, summary). incoming: url, title, content, headings, word_count and seq, the order of arrival.
+    """(new index, summary). incoming: url, title, content, headings, word_count and seq, the order of arrival (any ordered type).
 
-    A url keeps its doc_id; an unchanged document (same hash) stays as it is; new ones are numbered on in order of arrival.
-    Of several rows with one url the last counts, each being tallied as new, updated or unchanged once.
+    Every row is tallied as new, updated or unchanged against what its url held just before it: the row before it, else the
+    index. A url keeps its doc_id; new ones are numbered on in order of their first arrival; the last row that wasn't unchanged counts.
     """
-    last = incoming.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("seq")))).where("__n = 1").drop("__n")
     live = index.documents.where(~F.col("deleted"))
     known = live.select("url", F.col("doc_id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("pagerank").alias("old_rank"))
-    hashed = last.withColumn("__hash", T.content_hash(F.col("title"), F.col("headings"), F.col("content"))).join(known, "url", "left")
-    state = F.when(F.col("old_id").isNull(), "new").when(F.col("old_hash") == F.col("__hash"), "unchanged").otherwise("updated")
+    hashed = incoming.withColumn("__hash", T.content_hash(F.col("title"), F.col("headings"), F.col("content"))).join(known, "url", "left")
+    before = F.coalesce(F.lag("__hash").over(Window.partitionBy("url").orderBy("seq")), F.col("old_hash"))
+    state = F.when(before.isNull(), "new").when(before == F.col("__hash"), "unchanged").otherwise("updated")
     hashed = hashed.withColumn("state", state)
+    by_url = Window.partitionBy("url")
+    last = hashed.where("state <> 'unchanged'").withColumn("__n", F.row_number().over(by_url.orderBy(F.desc("seq")))).withColumn("first_seq", F.min("seq").over(by_url)).where("__n = 1")
     base = index.documents.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("base"))
-    fresh = hashed.where("state = 'new'").crossJoin(F.broadcast(base)).withColumn("doc_id", F.col("base") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")) - 1)
-    changed = hashed.where("state = 'updated'").withColumn("doc_id", F.col("old_id"))
-    columns = ["doc_id", "url", "title", "content", "headings", "word_count", F.coalesce("old_rank", F.lit(DEFAULT_RANK)).alias("pagerank")]
-    docs = prepare(fresh.select(*columns).unionByName(changed.select(*columns)), now)
+    ids = numbered(last.where("old_id is null").select("url", "first_seq"), "first_seq", "url").crossJoin(F.broadcast(base)).select("url", (F.col("base") + F.col("number")).alias("new_id"))
+    changed = last.join(ids, "url", "left").withColumn("doc_id", F.coalesce("old_id", "new_id"))
+    docs = prepare(changed.select("doc_id", "url", "title", "content", "headings", "word_count", F.coalesce("old_rank", F.lit(DEFAULT_RANK)).alias("pagerank")), now)
     touched = docs.select("doc_id")
     merged = Index(
         index.documents.join(touched, "doc_id", "left_anti").unionByName(docs.drop("headings")),
@@ -126,14 +160,42 @@ def shard_of(url: Column, shards: int) -> Column:
 
 
 def shard_stats(index: Index, shards: int, shard: Column | None = None) -> DataFrame:
-    """Documents, the sum of each shard's distinct terms, and the mean of the shards' mean lengths."""
+    """One row per shard: docs, terms (its own distinct ones), avg_doc_length."""
     placed = index.documents.where(~F.col("deleted")).withColumn("shard", shard if shard is not None else shard_of(F.col("url"), shards))
     by = placed.groupBy("shard").agg(F.count("*").alias("docs"), F.coalesce(F.avg(F.when(F.col("doc_length") > 0, F.col("doc_length"))), F.lit(0.0)).alias("avg_doc_length"))
     terms = index.postings.join(placed.select("doc_id", "shard"), "doc_id").groupBy("shard").agg(F.count_distinct("term").alias("terms"))
     return by.join(terms, "shard", "left").select("shard", "docs", F.coalesce("terms", F.lit(0)).alias("terms"), "avg_doc_length")
 
 
+def sharded_totals(index: Index, shards: int, shard: Column | None = None) -> DataFrame:
+    """One row: documents, and the sum of the shards' distinct terms, in which terms of several shards count several times."""
+    return shard_stats(index, shards, shard).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("total_docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("total_terms"), F.lit(shards).alias("num_shards"))
+
+
 def save_shards(index: Index, path: str, shards: int) -> None:
+    """Every shard's documents and postings in a folder of its own; the number of shards beside them."""
     placed = index.documents.withColumn("shard", shard_of(F.col("url"), shards))
-    placed.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/documents")
-    index.postings.join(placed.select("doc_id", "shard"), "doc_id").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    placed.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/documents")
+    posted = index.postings.join(placed.select("doc_id", "shard"), "doc_id")
+    posted.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    write_whole(f"{path}/META", json.dumps({"shards": shards}).encode())
+
+
+def add_to_shards(spark: SparkSession, docs: DataFrame, path: str, stem: bool = False) -> None:
+    """Append prepared documents (with headings) to the shards that their urls choose; doc_ids must be new."""
+    shards = load_meta(path)
+    placed = docs.withColumn("shard", shard_of(F.col("url"), shards))
+    placed.drop("headings").write.mode("append").partitionBy("shard").parquet(f"{path}/documents")
+    postings(docs, stem).join(placed.select("doc_id", "shard"), "doc_id").sortWithinPartitions("shard", "term").write.mode("append").partitionBy("shard").parquet(f"{path}/postings")
+
+
+def load_meta(path: str) -> int:
+    raw = read_whole(f"{path}/META")
+    if raw is None:
+        raise FileNotFoundError(f"{path}/META")
+    return json.loads(raw)["shards"]
+
+
+def load_shards(spark: SparkSession, path: str) -> tuple[Index, int]:
+    """(index whose tables have a shard column, number of shards); a filter on shard reads that shard's folder only."""
+    return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")), load_meta(path)

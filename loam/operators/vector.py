@@ -51,6 +51,11 @@ def approximate(vectors: DataFrame, query: list[float], k: int, planes: np.ndarr
     return exact(vectors.join(F.broadcast(chosen), "signature", "left_semi"), query, k)
 
 
+def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, score, title, url): vector hits with what is shown of them; a hit without a live document has no row."""
+    return hits.join(documents.where(~F.col("deleted")).select("doc_id", "title", "url"), "doc_id")
+
+
 def hybrid(results: DataFrame, vectors: DataFrame, query: list[float], limit: int = 20, text_weight: float = 0.7, scale: float = 20.0) -> DataFrame:
     """(doc_id, bm25, similarity, combined): text candidates ranked anew; without a vector the similarity is 0."""
     near = vectors.select("doc_id", V.cosine(F.col("embedding"), _literal(query)).alias("similarity"))

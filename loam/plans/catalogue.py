@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vectors as V
-from ..functions.queryparse import ParseQuery, parse_query
+from ..functions.queryparse import ParseQuery
 from ..operators import analytics, cache, crawl, suggest, vector
 from ..operators import index as ix
 from ..operators import search as se
@@ -53,7 +53,8 @@ def index_of(spark, d: str, ranks: DataFrame | None = None) -> ix.Index:
     if key not in _INDEXES:
         _INDEXES.clear()
         i = build()
-        _INDEXES[key] = ix.Index(i.documents.persist(), i.postings.persist())
+        postings = i.postings.persist()
+        _INDEXES[key] = ix.Index(i.documents.persist(), postings, ix.Index(i.documents, postings).terms().persist())
     return _INDEXES[key]
 
 
@@ -130,7 +131,7 @@ def index_stats(spark, d):
 
 @query(f"WITH {INDEX_SQL} SELECT term, doc_id, t::INT AS title, 0 AS headings, u::INT AS url, b::INT AS body FROM post")
 def postings_fields(spark, d):
-    return index_of(spark, d).postings
+    return index_of(spark, d).postings.select("term", "doc_id", *ix.FIELDS)
 
 
 @query(f"""WITH {INDEX_SQL} SELECT d.doc_id, d.url, lower(source) || '.example.com' AS domain, CASE WHEN d.url LIKE '%/about%' OR lower(title) LIKE '%about%' THEN 'about' WHEN d.url LIKE '%/contact%' OR lower(title) LIKE '%contact%' THEN 'contact' ELSE 'article' END AS content_type,
@@ -139,6 +140,18 @@ def documents_prepared(spark, d):
     return index_of(spark, d).documents.select("doc_id", "url", "domain", "content_type", "doc_length", "content_hash")
 
 
+#: words and stems as the published description of the algorithm and its sample vocabulary give them
+STEMS = "dying die lying lie tying tie skis ski skies sky news news gently gentl only onli singly singl inning inning canning canning proceed proceed exceed exceed succeed succeed atlas atlas consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot generate generat generates generat generated generat generating generat general general generally general generic generic generically generic generous generous generously generous".split()
+STEMS = list(zip(STEMS[::2], STEMS[1::2]))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in STEMS) + ") v(word, stem)")
+def stem_vocabulary(spark, d):
+    from ..functions.stem import stem_udf
+
+    return spark.createDataFrame([(w,) for w, _ in STEMS], "word string").select("word", stem_udf("word").alias("stem"))
+
+
 @query()
 def stemmed_terms(spark, d):
     return ix.postings(ix.prepare(pages_of(read(spark, d, "documents"))), stem=True).groupBy("term").agg(F.count("*").alias("df"))
@@ -268,17 +281,36 @@ def page_slice(spark, d):
     return ranked(index_of(spark, d), "with").where("rank between 6 and 10")
 
 
-@query()
+@query(
+    f"""WITH top AS ({bm25_sql(["with", "ble"])}), w AS (SELECT rank, title, url, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS ws, score FROM top JOIN (SELECT doc_id, split_part(text, chr(10), 1) AS title, {URL_SQL} AS url, text AS content FROM documents) USING (doc_id)),
+h AS (SELECT *, len(ws) AS n, list_transform(range(0, greatest(len(ws) - 40, 0) + 1), lambda i: contains(lower(array_to_string(ws[i + 1 : i + 40], ' ')), 'with')::INT + contains(lower(array_to_string(ws[i + 1 : i + 40], ' ')), 'ble')::INT) AS hits FROM w),
+b AS (SELECT *, CASE WHEN list_max(hits) > 0 AND n >= 40 THEN greatest(list_position(hits, list_max(hits)) - 1 - 10, 0) ELSE 0 END AS start FROM h)
+SELECT rank, title, url, score, CASE WHEN n = 0 THEN '' ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || regexp_replace(regexp_replace(array_to_string(ws[start + 1 : start + 40], ' '), '(with)', '**\\1**', 'gi'), '(ble)', '**\\1**', 'gi') || CASE WHEN start + 40 < n THEN '...' ELSE '' END END AS snippet FROM b"""
+)
 def snippet_top(spark, d):
     i = index_of(spark, d)
-    return se.display(se.search(i, [(0, "with ble")]), i, "with ble")
+    return se.display(se.search(i, [(0, "with ble")]), i, "with ble").withColumn("score", F.round("score", 6))
+
+
+#: query -> its terms, written down from the description of the language
+PARSED = {
+    "rust web": [("required", "rust"), ("required", "web")],
+    "a OR b": [("optional", "a"), ("required", "b")],
+    "a b OR c": [("required", "a"), ("optional", "b"), ("required", "c")],
+    "rust NOT java": [("required", "rust"), ("excluded", "java")],
+    '"exact phrase"': [("phrase", "exact"), ("required", "phrase")],
+    '"a b c" d': [("phrase", "a b"), ("required", "c"), ("required", "d")],
+    "rust AND -java": [("required", "rust"), ("excluded", "java")],
+    "foo-bar": [("required", "foo-bar")],
+    "a OR": [("required", "a")],
+    "a OR ": [("optional", "a")],
+}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', {i}, '{k}', '{t}')" for q in ("rust web", "a OR b", "a b OR c", "rust NOT java", '"exact phrase"', '"a b c" d', '-"foo bar"', '"foo bar', "a OR", "NOT OR x", "foo-bar") for i, (k, t) in enumerate(parse_query(q))) + ") v(query, pos, kind, text)")
+@query("SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', {i}, '{k}', '{t}')" for q, terms in PARSED.items() for i, (k, t) in enumerate(terms)) + ") v(query, pos, kind, text)")
 def parse_query_batch(spark, d):
     spark.udtf.register("loam_parse_query", ParseQuery)
-    qs = ["rust web", "a OR b", "a b OR c", "rust NOT java", '"exact phrase"', '"a b c" d', '-"foo bar"', '"foo bar', "a OR", "NOT OR x", "foo-bar"]
-    spark.createDataFrame([(q,) for q in qs], "query string").createOrReplaceTempView("loam_queries")
+    spark.createDataFrame([(q,) for q in PARSED], "query string").createOrReplaceTempView("loam_queries")
     return spark.sql("SELECT query, t.* FROM loam_queries, LATERAL loam_parse_query(query) t")
 
 
@@ -316,15 +348,20 @@ def pagerank_sql(edges: str, iterations: int = 20) -> str:
 r0 AS (SELECT url, 1.0::DOUBLE / n AS score FROM nodes, c), {steps} SELECT url, round(score / (SELECT sum(score) FROM r{iterations}), 9) AS score FROM r{iterations}"""
 
 
-@query(pagerank_sql("SELECT DISTINCT 'p' || l_partkey AS f, 's' || l_suppkey AS t FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1"))
+@query(pagerank_sql("SELECT DISTINCT 'p' || l_partkey AS f, 's' || l_suppkey AS t FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem"))
 def pagerank_part_supplier(spark, d):
     li = read(spark, d, "lineitem")
     p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = li.select(p.alias("from_url"), s.alias("to_url")).union(li.where("l_linenumber = 1").select(s, p))
+    edges = li.select(p.alias("from_url"), s.alias("to_url")).union(li.select(s, p))
     return pagerank(edges).select("url", F.round("score", 9).alias("score"))
 
 
-@query()
+#: characters beyond those of a url go percent-encoded
+QUOTED = "array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z0-9/:@!$&''()*+,;=~._%?#-]') THEN c ELSE url_encode(c) END), '')"
+LINKS_SQL = "SELECT DISTINCT url AS from_url, CASE WHEN starts_with(h, 'http') THEN h ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || " + QUOTED.format(x="h") + " END AS to_url FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS h FROM pages)"
+
+
+@query(pagerank_sql("SELECT from_url AS f, to_url AS t FROM (" + LINKS_SQL + ")"))
 def pagerank_links(spark, d):
     return pagerank(crawl.links_of(read(spark, d, "pages"))).select("url", F.round("score", 9).alias("score"))
 
@@ -380,11 +417,15 @@ def hybrid_rerank(spark, d):
     return h.select("doc_id", *[F.round(c, 6).alias(c) for c in ("bm25", "similarity", "combined")])
 
 
-@query()
+#: the nearest number of eleven significant bits, ties to even, of normal numbers
+HALF_SQL = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / power(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * power(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+
+
+@query(f"SELECT vec_id AS doc_id, len(embedding) * 2 AS bytes, round(list_sum({HALF_SQL}), 6) AS total, round(list_max({HALF_SQL}), 6) AS largest FROM embeddings")
 def quantize_roundtrip(spark, d):
     v = vectors_of(spark, d).withColumn("half", V.to_half("embedding")).withColumn("back", V.from_half("half"))
-    worst = F.array_max(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b)))
-    return v.select("doc_id", F.octet_length("half").alias("bytes"), (worst < 0.001).alias("close"))
+    total = F.aggregate("back", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return v.select("doc_id", F.octet_length("half").alias("bytes"), F.round(total, 6).alias("total"), F.round(F.array_max("back").cast("double"), 6).alias("largest"))
 
 
 @query("SELECT DISTINCT len(embedding) * 4 AS full_bytes, len(embedding) * 2 AS half_bytes, 50.0::DOUBLE AS saved FROM embeddings")
@@ -411,7 +452,7 @@ def html_counts(spark, d):
     return crawl.parse_pages(read(spark, d, "pages")).select("page_id", "word_count", "content_length")
 
 
-@query()
+@query(LINKS_SQL)
 def page_links(spark, d):
     return crawl.links_of(read(spark, d, "pages"))
 
@@ -448,10 +489,10 @@ def robots_allowed(spark, d):
 # --- crawl state --------------------------------------------------------------------------------
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text HAVING min(doc_id) >= 100")
+@query("SELECT min(doc_id) FILTER (doc_id % 4 <> 0) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text HAVING count(*) FILTER (doc_id % 4 = 0) = 0")
 def crawl_dedup_hash(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("seq"))
-    return crawl.new_content(docs.where("doc_id >= 100"), docs.where("doc_id < 100")).select("doc_id", "content_hash")
+    return crawl.new_content(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0")).select("doc_id", "content_hash")
 
 
 @query("SELECT sha256(text) AS content_hash, 'u' || min(doc_id) AS url FROM documents GROUP BY 1")
@@ -463,11 +504,11 @@ def crawl_url_of_hash(spark, d):
 NORM = ORACLES["url_normalize"]
 
 
-@query(f"WITH n AS ({NORM}) SELECT DISTINCT normalized AS url, 5::BIGINT AS discovered_at, 0 AS priority FROM n WHERE normalized NOT IN (SELECT normalized FROM n WHERE page_id < 50)")
+@query(f"WITH n AS ({NORM}) SELECT DISTINCT normalized AS url, 5::BIGINT AS discovered_at, 0 AS priority FROM n WHERE normalized NOT IN (SELECT normalized FROM n WHERE page_id % 5 < 2)")
 def crawl_frontier_new(spark, d):
     p = read(spark, d, "pages")
-    known = p.where("page_id < 50").select(U.normalize_url(F.col("url")).alias("url"), "page_id")
-    return crawl.enqueue(p, known.where("page_id < 25"), known.where("page_id >= 25"), now=5)
+    known = p.select(U.normalize_url(F.col("url")).alias("url"), (F.col("page_id") % 5).alias("k"))
+    return crawl.enqueue(p, known.where("k = 0"), known.where("k = 1"), now=5)
 
 
 @query("SELECT 'u' || doc_id AS url, n_chars % 3 AS priority FROM documents ORDER BY n_chars % 3 DESC, n_chars, 'u' || doc_id LIMIT 15")
@@ -500,19 +541,25 @@ def rate_limit_wait(spark, d):
     return state.crossJoin(F.broadcast(now)).select("domain", crawl.wait_ms(F.col("last_request_time"), F.col("delay"), F.col("now")).alias("wait_ms"))
 
 
-@query("SELECT lower(regexp_extract(url, '://([^/]*)', 1)) AS domain, count(DISTINCT url) AS pages, 0 AS error_count, 100 AS delay FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+PAGE_FOLD = FOLD.replace("user_id::VARCHAR AS domain", "lower(regexp_extract(url, '://([^/]*)', 1)) AS domain").replace("FROM events GROUP BY 1", "FROM events JOIN pages ON page_id = user_id GROUP BY 1")
+
+
+@query(PAGE_FOLD + ", c AS (SELECT lower(regexp_extract(url, '://([^/]*)', 1)) AS domain, count(DISTINCT url) AS pages FROM pages GROUP BY 1) SELECT domain, coalesce(pages, 0) AS pages, s.e::INT AS error_count, s.d::INT AS delay FROM s LEFT JOIN c USING (domain) ORDER BY 2 DESC, 1 LIMIT 20")
 def domain_stats(spark, d):
     p = read(spark, d, "pages")
-    state = p.select(U.raw_domain(F.col("url")).alias("domain")).distinct().select("domain", F.lit(0).alias("error_count"), F.lit(100).alias("delay"))
-    return crawl.domain_stats(state, p)
+    asked = requests_of(spark, d).join(p.select(F.col("page_id").cast("string").alias("domain"), U.raw_domain(F.col("url")).alias("site")), "domain").select(F.col("site").alias("domain"), "at", "seq", "status")
+    return crawl.domain_stats(crawl.rate_limits(asked), p)
 
 
-@query("SELECT 'pages' AS name, count(*) AS n FROM pages UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'domains', count(DISTINCT lower(regexp_extract(url, '://([^/]*)', 1))) FROM pages")
+@query("SELECT 'pages' AS name, count(*) AS n FROM pages UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'domains', count(DISTINCT lower(regexp_extract(url, '://([^/]*)', 1))) FROM pages UNION ALL SELECT 'links', count(*) FROM (" + LINKS_SQL + ") UNION ALL SELECT 'queue', count(*) FROM (" + ORACLES["crawl_frontier_new"] + ")")
 def table_counts(spark, d):
     p = read(spark, d, "pages")
     rows = p.agg(F.count("*").alias("n")).select(F.lit("pages").alias("name"), "n")
     rows = rows.union(read(spark, d, "documents").agg(F.count("*")).select(F.lit("documents"), "count(1)"))
-    return rows.union(p.agg(F.count_distinct(U.raw_domain(F.col("url"))).alias("n")).select(F.lit("domains"), "n"))
+    rows = rows.union(p.agg(F.count_distinct(U.raw_domain(F.col("url"))).alias("n")).select(F.lit("domains"), "n"))
+    for name, counted in (("links", crawl.links_of(p)), ("queue", crawl_frontier_new(spark, d))):
+        rows = rows.union(counted.agg(F.count("*").alias("n")).select(F.lit(name), "n"))
+    return rows
 
 
 # --- analytics ----------------------------------------------------------------------------------
@@ -549,29 +596,28 @@ def analytics_total(spark, d):
 
 
 def _changed(spark, d):
-    """The index of even documents, and a batch: every fifth document edited, others as they are, odd ones new."""
+    """The index of even documents, and a batch of all: odd ones are new, every fifth is edited, every tenth then comes once more as it was."""
     p = pages_of(read(spark, d, "documents"))
     old = ix.build(p.where("doc_id % 2 = 0"), allow_duplicates=True)
-    batch = p.where("doc_id % 5 = 0 or doc_id % 7 = 0").withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))).withColumn("seq", F.col("doc_id"))
-    return old, batch
-
+    edited = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))
+    batch = p.withColumn("content", edited).withColumn("seq", 2 * F.col("doc_id"))
+    again = p.where("doc_id % 10 = 0").withColumn("seq", 2 * F.col("doc_id") + 1)
+    return old, batch.unionByName(again)
 
-BATCH = "(SELECT doc_id, doc_id % 2 = 0 AS known, doc_id % 5 = 0 AS edited, text FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0)"
 
-
-@query(f"SELECT count(*) AS processed, count(*) FILTER (NOT known) AS new, count(*) FILTER (known AND edited) AS updated, count(*) FILTER (known AND NOT edited) AS unchanged FROM {BATCH}")
+@query("SELECT count(*) + count(*) FILTER (doc_id % 10 = 0) AS processed, count(*) FILTER (doc_id % 2 = 1) AS new, count(*) FILTER (doc_id % 10 = 0) * 2 AS updated, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 5 <> 0) AS unchanged FROM documents")
 def incremental_summary(spark, d):
     old, batch = _changed(spark, d)
     return ix.upsert(old, batch.drop("doc_id"))[1]
 
 
 @query(
-    f"""WITH base AS (SELECT max(doc_id) + 1 AS b FROM documents WHERE doc_id % 2 = 0), fresh AS (SELECT doc_id AS old, (SELECT b FROM base) + row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM {BATCH} WHERE NOT known)
-SELECT doc_id, {URL_SQL} AS url FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT f.doc_id, 'https://' || source || '.example.com/' || lang || '/' || o.doc_id FROM fresh f JOIN documents o ON o.doc_id = f.old"""
+    f"""WITH base AS (SELECT max(doc_id) + 1 AS b FROM documents WHERE doc_id % 2 = 0), fresh AS (SELECT (SELECT b FROM base) + row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {URL_SQL} AS url, len({TOK("text")}) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS doc_length FROM documents WHERE doc_id % 2 = 1)
+SELECT doc_id, {URL_SQL} AS url, len({TOK("text")}) AS doc_length FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT * FROM fresh"""
 )
 def upsert_state(spark, d):
     old, batch = _changed(spark, d)
-    return ix.upsert(old, batch.drop("doc_id"))[0].documents.select("doc_id", "url")
+    return ix.upsert(old, batch.drop("doc_id"))[0].documents.select("doc_id", "url", "doc_length")
 
 
 @query("SELECT count(*) FILTER (doc_id % 3 <> 0) AS total_docs, count(*) AS kept_ids, count(*) FILTER (doc_id % 3 = 0) AS deleted FROM documents")
@@ -600,3 +646,50 @@ def cache_ttl(spark, d):
 def cache_lru(spark, d):
     c = _cache(spark, d)
     return cache.put(c.limit(0), c, 20).select("key", "used")
+
+
+@query("SELECT * FROM (SELECT 'q' || doc_id % 50 AS query, max(doc_id) AS doc_id FROM documents GROUP BY 1)".replace("SELECT * FROM", "SELECT query, 1 AS rank, doc_id, (SELECT n_chars::DOUBLE FROM documents x WHERE x.doc_id = m.doc_id) AS score, (SELECT split_part(text, chr(10), 1) FROM documents x WHERE x.doc_id = m.doc_id) AS title FROM") + " m")
+def cache_results(spark, d):
+    c = _cache(spark, d)
+    held = cache.put(c.limit(0), c, 50)
+    asked = held.select(F.upper("key").alias("query"))
+    hits = cache.lookup(held, asked, F.lit(0)).withColumn("query", F.lower("query"))
+    return cache.results(hits, index_of(spark, d).documents).select("query", "rank", "doc_id", "score", "title")
+
+
+@query(f"WITH {INDEX_SQL}, b AS (SELECT doc_id % 3 AS s, count(DISTINCT term) AS terms FROM post GROUP BY 1) SELECT (SELECT n FROM stat) AS total_docs, (SELECT sum(terms)::BIGINT FROM b) AS total_terms, 3 AS num_shards")
+def sharded_totals(spark, d):
+    return ix.sharded_totals(index_of(spark, d), 3, (F.col("doc_id") % 3).cast("int"))
+
+
+@query("SELECT vec_id AS doc_id, len(embedding) AS dimension FROM embeddings")
+def vector_dimension(spark, d):
+    return vector.check_dimension(vectors_of(spark, d), 64).select("doc_id", F.size("embedding").alias("dimension"))
+
+
+@query(f"SELECT doc_id, score, split_part(text, chr(10), 1) AS title, {URL_SQL} AS url FROM ({ORACLES['vector_exact_topk']}) JOIN documents USING (doc_id)")
+def vector_hits(spark, d):
+    return vector.with_documents(vector_exact_topk(spark, d), index_of(spark, d).documents)
+
+
+@query("SELECT doc_id, decode(encode(left(split_part(text, chr(10), 1) || ' ' || text, 2000))) AS whole, sha256(split_part(text, chr(10), 1)) AS key FROM documents WHERE strlen(left(split_part(text, chr(10), 1) || ' ' || text, 2000)) <= 2000".replace("decode(encode(left(split_part(text, chr(10), 1) || ' ' || text, 2000)))", "trim(left(split_part(text, chr(10), 1) || ' ' || text, 2000), ' ')"))
+def embedding_text(spark, d):
+    docs = index_of(spark, d).documents
+    fits = F.octet_length(F.substring(F.concat_ws(" ", "title", "content"), 1, 2000)) <= 2000  # SQL here can't cut bytes; tests cover the others
+    return docs.where(fits).select("doc_id", T.embedding_text(F.col("title"), F.col("content")).alias("whole"), T.embedding_key(F.col("title")).alias("key"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS limiter_domain, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g') AS title FROM pages")
+def page_squeezed(spark, d):
+    return read(spark, d, "pages").select("page_id", U.raw_domain(F.col("url")).alias("limiter_domain"), T.squeeze(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query("SELECT page_id, len(headings) AS n_headings, len(links) AS n_links FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<h[123][ >]')[:30] AS headings, regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<a [^>]*href=\"http')[:100] AS links FROM pages WHERE length(html) > 100)")
+def html_caps(spark, d):
+    return crawl.parse_pages(read(spark, d, "pages")).select("page_id", F.size("headings").cast("long").alias("n_headings"), F.size("links").cast("long").alias("n_links"))
+
+
+from . import stored  # noqa: E402  the queries over stored files and streams
+
+QUERIES |= stored.QUERIES
+ORACLES |= stored.ORACLES | stored.late_oracles()

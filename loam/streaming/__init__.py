@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Streams and resumable loops: taking in new pages, rate limits per domain, suggestions, crawling."""

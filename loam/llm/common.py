@@ -20,17 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without one
+    (tests) gets a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loam-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share. A session that isn't local must name it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="loam-")
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that a checkpoint has replaced.
 
@@ -106,6 +125,24 @@ def word_hashes(text: str | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of the UTF-8 bytes; A-Z count as a-z."""
     data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
     raw = np.frombuffer(data, np.uint8)
+    if len(raw) > _PIECE:  # so that the table of powers stays small; pieces end between words
+        got, at = [], 0
+        while at < len(raw):
+            stop = at + _PIECE
+            while stop < len(raw) and not (gap := np.flatnonzero(_IS_SPACE[raw[stop : stop + _PIECE]]))[:1].size:
+                stop += _PIECE
+            stop = len(raw) if stop >= len(raw) else stop + int(gap[0])
+            h, start, end = _hashed(raw[at:stop])
+            got.append((h, start + at, end + at))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*got))
+    return _hashed(raw)
+
+
+_PIECE = 1 << 21
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = word_bounds(raw)
     if not len(start):
         return np.empty(0, np.uint64), start, end

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, checkpointed, distinct_sorted, mix64, partitions, planes, release, table, text_rows, unplanes, word_hashes
+from .common import IdFilter, checkpointed, distinct_sorted, freed, mix64, partitions, planes, release, table, text_rows, unplanes, word_hashes
 from .graph import components
 
 REACH = 6
@@ -30,40 +30,51 @@ _FULL = (1 << 64) - 1
 _FLUSH = 200_000  # paragraphs that a task gathers before it sends
 
 
-def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 32) -> tuple[int, int]:
-    """(bands, rows): the most selective banding of at most ``most`` hashes that finds pairs at the threshold with the recall.
-
-    Of three or more rows a band, lest unrelated paragraphs fill the buckets; a band more costs as much as half a row's worth of false collisions.
-    """
-    best = None
-    for rows in range(3, 7):
-        for bands in range(1, most // rows + 1):
-            if 1 - (1 - threshold**rows) ** bands >= recall:
-                cost = bands * (1 + 2.0 ** (2 - rows))
-                if best is None or cost < best[0]:
-                    best = (cost, bands, rows)
-                break
-    if best is None:
-        raise ValueError("no banding reaches this recall")
-    return best[1], best[2]
+def tune(threshold: float = THRESHOLD, recall: float = RECALL, unrelated: float = 0.15, false: float = 1e-3) -> tuple[int, int]:
+    """(bands, rows): the fewest rows, with the bands that find pairs at the threshold with the recall, at which paragraphs of similarity ``unrelated`` collide in less than ``false`` of all cases."""
+    for rows in range(1, 17):
+        bands = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows) - 1e-9))) if threshold < 1 else 1
+        if bands * unrelated**rows <= false and bands * rows <= 128:
+            return bands, rows
+    raise ValueError("no banding reaches this recall")
 
 
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each paragraph) of a whole text; empty for texts without words."""
-    if not text:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w, _, _ = word_hashes(text)
-    n = len(w)
-    if n <= 2 * REACH:
-        return w, np.zeros(min(n, 1), np.int64)
-    v = mix64(w[:-1] * _A + w[1:])
-    m = len(v)
-    padded = np.concatenate([np.zeros(REACH, np.uint64), v, np.zeros(REACH, np.uint64)])  # no cuts near the ends
-    low = np.ones(m, bool)
-    for d in range(1, REACH + 1):
-        low &= v < padded[REACH - d : REACH - d + m]
-        low &= v <= padded[REACH + d : REACH + d + m]
-    return w, np.concatenate([[0], np.flatnonzero(low)])
+    w, start, _, _ = cut([text])
+    return w, start
+
+
+def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each paragraph, number of each paragraph's text, first word of each text) of whole texts, one after another.
+
+    They are worked on together, as arrays of one text each are short.
+    """
+    data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    w, at, _ = word_hashes(b"\n".join(data))
+    begins = np.cumsum([0] + [len(x) + 1 for x in data[:-1]])
+    first = np.searchsorted(at, begins)  # of each text
+    if not len(w):
+        return w, np.empty(0, np.int64), np.empty(0, np.int64), first
+    size = np.diff(np.append(first, len(w)))
+    place = np.arange(len(w)) - np.repeat(first, size)
+    left = np.repeat(size, size) - place  # words to the text's end, itself included
+    v = np.append(mix64(w[:-1] * _A + w[1:]), np.uint64(0))
+    low = (place >= REACH) & (left - 1 > REACH)  # no cuts near the ends
+    m = len(w) - 2 * REACH
+    if m > 0:
+        inner = np.ones(m, bool)
+        mid = v[REACH : REACH + m]
+        for d in range(1, REACH + 1):
+            inner &= mid < v[REACH - d : REACH - d + m]
+            inner &= mid <= v[REACH + d : REACH + d + m]
+        low[REACH : REACH + m] &= inner
+        low[:REACH] = low[REACH + m :] = False
+    else:
+        low[:] = False
+    low[first[size > 0]] = True
+    start = np.flatnonzero(low)
+    return w, start, np.searchsorted(first, start, side="right") - 1, first
 
 
 def digests(w: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -81,14 +92,19 @@ def pair_hashes(w: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def band_keys(pairs: np.ndarray, start: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(paragraphs, bands) 48-bit keys."""
+    """(paragraphs, bands) 48-bit keys. Each 64-bit hash gives two 32-bit ones, whose minima are two rows of the signature."""
+    need = bands * rows
+    signature = np.empty((need + need % 2, len(start)), np.uint64)
+    for k in range(0, need, 2):
+        h = (pairs ^ np.uint64((k + 1) * int(_B) & _FULL)) * np.uint64((int(_A) + (k + 1) * 0x632BE59BD9B4E018) & _FULL)
+        h ^= h >> np.uint64(32)
+        both = np.minimum.reduceat(h.view(np.uint32).reshape(-1, 2), start, axis=0)
+        signature[k], signature[k + 1] = both[:, 0], both[:, 1]
     out = np.empty((len(start), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(start), b + 1, np.uint64)
         for r in range(rows):
-            k = (b * rows + r) * 2 + 1
-            h = (pairs ^ np.uint64(k * int(_B) & _FULL)) * np.uint64((int(_A) + k * 0x632BE59BD9B4E018) & _FULL)
-            key = mix64(key * _A + np.minimum.reduceat(h ^ (h >> np.uint64(31)), start))
+            key = mix64(key * _A + signature[b * rows + r])
         out[:, b] = key >> np.uint64(16)
     return out
 
@@ -119,12 +135,11 @@ def _collide(batches, bands: int, rows: int, bits: int):
     held_d, held_k, size = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            for t in batch.slice(at, 256).column(0).to_pylist():
-                w, start = paragraphs(t)
-                if len(w):
-                    held_d.append(digests(w, start))
-                    held_k.append(band_keys(pair_hashes(w, start), start, bands, rows))
-                    size += len(start)
+            w, start, _, _ = cut(batch.slice(at, 256).column(0).to_pylist())
+            if len(w):
+                held_d.append(digests(w, start))
+                held_k.append(band_keys(pair_hashes(w, start), start, bands, rows))
+                size += len(start)
             if size > _FLUSH:
                 yield from flush(held_d, held_k)
                 held_d, held_k, size = [], [], 0
@@ -208,6 +223,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     texts = docs.select("text")
     met = texts.mapInArrow(lambda b: _collide(b, bands, rows, bits), "g int, blob binary").repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _stars(b, bits), "k long, a long, b long")
     met = checkpointed(met)
+    freed(spark)
     candidates = met.where("b is not null").select("a", "b").distinct()
     ends = candidates.select("a").union(candidates.select("b")).distinct()
     gate = spark.sparkContext.broadcast(IdFilter(ends, "a"))
@@ -217,19 +233,18 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 names, sets = [], []
-                for t in batch.slice(at, 256).column(0).to_pylist():
-                    w, start = paragraphs(t)
-                    if not len(w):
-                        continue
-                    d = digests(w, start).astype(np.int64)
-                    hits = np.flatnonzero(gate.value.maybe(d))
-                    if len(hits):
-                        pairs, ends_ = pair_hashes(w, start), np.append(start[1:], len(w))
-                        for i in hits:
-                            if d[i] not in seen:
-                                seen.add(d[i])
-                                names.append(d[i])
-                                sets.append(distinct_sorted(pairs[start[i] : ends_[i]]).astype(np.int64).tobytes())
+                w, start, _, _ = cut(batch.slice(at, 256).column(0).to_pylist())
+                if not len(w):
+                    continue
+                d = digests(w, start).astype(np.int64)
+                hits = np.flatnonzero(gate.value.maybe(d))
+                if len(hits):
+                    pairs, ends_ = pair_hashes(w, start), np.append(start[1:], len(w))
+                    for i in hits:
+                        if d[i] not in seen:
+                            seen.add(d[i])
+                            names.append(d[i])
+                            sets.append(distinct_sorted(pairs[start[i] : ends_[i]]).astype(np.int64).tobytes())
                 if len(seen) > 500_000:
                     seen = set()
                 if names:
@@ -267,20 +282,14 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
 
     def occurrences(batches):
         for ids, texts_ in text_rows(batches):
-            cols = [[], [], [], []]
-            for i, t in zip(ids, texts_):
-                w, start = paragraphs(t)
-                if len(w):
-                    d = digests(w, start).astype(np.int64)
-                    hits = np.flatnonzero(gate2.value.maybe(d))
-                    if len(hits):
-                        end = np.append(start[1:], len(w))
-                        cols[0].append(d[hits])
-                        cols[1].append(np.full(len(hits), (1 << 63) - 1 if i is None else i))
-                        cols[2].append(start[hits])
-                        cols[3].append(end[hits])
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["node", "doc_id", "start", "end"])
+            w, start, of, first = cut(texts_)
+            if len(w):
+                d = digests(w, start).astype(np.int64)
+                hits = np.flatnonzero(gate2.value.maybe(d))
+                if len(hits):
+                    names = np.array([(1 << 63) - 1 if i is None else i for i in ids], np.int64)[of[hits]]
+                    base = first[of[hits]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (d[hits], names, start[hits] - base, np.append(start[1:], len(w))[hits] - base)], ["node", "doc_id", "start", "end"])
 
     at = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(occurrences, "node long, doc_id long, start long, end long").join(roots, "node").select("root", "doc_id", "start", "end"))
     first = at.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("first"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import IdFilter, checkpointed, freed, partitions, table
 
 
 def canonical(text: str | None) -> bytes:
@@ -45,37 +46,85 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+HELD = 64 << 20  # bytes of distinct texts that a task gathers before it sends
+
+
 def equal_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id): group_id is the least doc_id with the same canonical bytes.
 
-    Buckets with one row are settled by their digest alone. Of the others, the texts go to a range of
-    (digest, part of the ids), so that a hot bucket is spread; each part streams in order of its
-    bytes and yields one row per run of equal bytes, and only those runs meet across parts, where they
-    are compared again. Null and empty texts form one group; a null id is kept and never names a group
-    unless all ids of it are null.
+    Null and empty texts form one group; a null id is kept and never names a group unless all ids of it are null. Repeated ids are rows
+    of their own; an empty table gives no rows.
+    """
+    return grouped(docs, checkpointed(fingerprints(docs)))
+
+
+def grouped(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of ``prints`` (doc_id, fingerprint and others, of the same documents) with group_id.
+
+    Buckets with one row are settled by their digest alone. Of the others, the canonical bytes are compared: each task sends one row per
+    digest and distinct bytes among its texts, so a hot bucket is a row per task, and these are aggregated by digest and bytes. A bucket
+    of several contents is split into them.
     """
     n = partitions(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    crowded = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    ids = checkpointed(prints.join(crowded, "fingerprint", "left_semi").select("doc_id").distinct())
+    gate = docs.sparkSession.sparkContext.broadcast(IdFilter(ids, "doc_id"))
+
+    def contents(batches):
+        held: dict[tuple[str, bytes], int | None] = {}
+        size = 0
 
-    def digest(batches):
+        def sent():
+            rows = list(held.items())
+            for at in range(0, len(rows), 256):
+                part = rows[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], ["fingerprint", "bytes", "least"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                part = part.filter(pa.array(gate.value.maybe(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) | ~known))
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    data = canonical(t)
+                    key = (xxhash.xxh3_128_hexdigest(data), data)
+                    if key not in held:
+                        size += len(data) + 100
+                        held[key] = i
+                    elif i is not None and (held[key] is None or i < held[key]):
+                        held[key] = i
+                if size > HELD:
+                    yield from sent()
+                    held, size = {}, 0
+        yield from sent()
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(contents, "fingerprint string, bytes binary, least long")
+    # laid out by digest, which serves both aggregations
+    kinds = found.repartition(n, "fingerprint").groupBy("fingerprint", "bytes").agg(F.min("least").alias("least"))
+    kinds = checkpointed(kinds.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.min("least").alias("only")))
+    joined = prints.join(kinds, "fingerprint", "left")
+    if kinds.where("kinds > 1").isEmpty():
+        return joined.select(*prints.columns, F.coalesce("only", "doc_id").alias("group_id"))
+    # digests of several contents: their texts are read again
+    split = kinds.where("kinds > 1").select("fingerprint")
+    own = digests(docs).join(split, "fingerprint", "left_semi")
+    leasts = own.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("least"))
+    named = own.join(leasts, ["fingerprint", "bytes"]).groupBy("doc_id", "fingerprint").agg(F.min("least").alias("split_id")).select(F.col("doc_id").alias("i"), F.col("fingerprint").alias("f"), "split_id")
+    joined = joined.join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f")), "left")
+    return joined.select(*prints.columns, F.coalesce("split_id", "only", "doc_id").alias("group_id"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, canonical bytes) of every row."""
+
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 data = [canonical(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_hexdigest(d) for d in data], pa.string()), pa.array(data, pa.binary())], ["doc_id", "fingerprint", "bytes"])
 
-    keyed = rows.mapInArrow(digest, "doc_id long, fingerprint string, bytes binary")
-    crowded = keyed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    many = keyed.join(crowded, "fingerprint", "left_semi").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    # equal bytes within a part, then across parts: the first step leaves at most one row per part and content
-    local = many.groupBy("fingerprint", "part", "bytes").agg(F.min("doc_id").alias("least"))
-    least = local.groupBy("fingerprint", "bytes").agg(F.min("least").alias("group_id"))
-    kinds = least.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.min("group_id").alias("only"))
-    plain = fingerprints(docs).join(kinds, "fingerprint", "left")
-    settled = plain.where("kinds is null or kinds = 1").select("doc_id", "fingerprint", F.coalesce("only", "doc_id").alias("group_id"))
-    split = keyed.join(kinds.where("kinds > 1").select("fingerprint"), "fingerprint", "left_semi")
-    split = split.join(least, (split["fingerprint"] == least["fingerprint"]) & (split["bytes"] == least["bytes"])).select("doc_id", split["fingerprint"], "group_id")
-    return settled.unionByName(split)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string, bytes binary")
 
 
 def with_successor(docs: DataFrame, rows_per_range: int = 4096) -> DataFrame:
@@ -91,7 +140,9 @@ def with_successor(docs: DataFrame, rows_per_range: int = 4096) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     cuts = sorted(set(int(x) for x in ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
-    bucket = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < c)) if cuts else F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    # how many cuts are below an id, by bisection
+    bucket = lambda c: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(F.array(*map(F.lit, cuts)), at + step - 1) < c), at + step).otherwise(at)) if cuts else F.lit(0)
     heads = {r.b: r.m for r in ids.groupBy(bucket(F.col("doc_id")).alias("b")).agg(F.min("doc_id").alias("m")).collect()}
     order = sorted(heads)
     # the head of each range also goes, marked, to the range before it; the very first one to the last
@@ -104,7 +155,7 @@ def with_successor(docs: DataFrame, rows_per_range: int = 4096) -> DataFrame:
     here = F.struct(F.col("b"), F.lit(0).alias("kind"))
     there = F.when(F.col("to_b").isNotNull(), F.struct(F.col("to_b").alias("b"), F.col("to_kind").alias("kind")))
     placed = placed.withColumn("at", F.explode(F.array_compact(F.array(here, there)))).select("doc_id", "null_id", "text", "at.b", "at.kind")
-    placed = placed.repartition(n, "b").sortWithinPartitions("b", (F.col("kind") == 2), "doc_id", "kind", "text")
+    placed = placed.repartitionById(max(n, len(cuts) + 1), "b").sortWithinPartitions("b", (F.col("kind") == 2), "doc_id", "kind", "text")
     return placed
 
 
@@ -131,7 +182,8 @@ def edited(text: str, following: str) -> str:
 
 
 def op8_canonical_digest(spark, sf_dir: str) -> DataFrame:
-    """Fingerprint of each document and of its edited text; likeness is 1 for equal canonical digests, else 0."""
+    """Fingerprint of each document and of its edited text; likeness is 1 for equal canonical digests, else 0. group_id: of equal canonical bytes, the least doc_id."""
+    docs = table(spark, sf_dir, "documents")
 
     def run(batches):
         rows: list[tuple] = []
@@ -150,4 +202,7 @@ def op8_canonical_digest(spark, sf_dir: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return with_successor(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = with_successor(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = checkpointed(rows)
+    freed(spark)
+    return grouped(docs, rows)

@@ -33,8 +33,10 @@ SHARD = 4_000
 SLACK = 0.08  # searches go on over nodes whose similarity is this much below the threshold
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def unit(v: np.ndarray) -> np.ndarray:
+    """A vector that isn't zero, of length one; scaled first, as squares of large components would overflow and those of small ones vanish."""
+    v = v / np.abs(v).max()
+    return v / np.linalg.norm(v)
 
 
 def usable(vectors: list) -> np.ndarray:
@@ -173,7 +175,7 @@ def _classes(rows: DataFrame) -> DataFrame:
                         a = np.asarray(v, np.float64) + 0.0
                         h = mix64(a.view(np.uint64) + np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True)
                         names.append(int(mix64(h)[0] >> np.uint64(1)))
-                        data.append((a / np.linalg.norm(a)).tobytes())
+                        data.append(unit(a).tobytes())
                     else:
                         names.append(None)
                         data.append(None)
@@ -182,10 +184,18 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, cls long, v binary")
 
 
-def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """A bounded set of pivots: the ``count`` classes of least hash."""
+def _pivots(vectors: DataFrame, count: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Length -> (number of its first pivot, pivots): a bounded set, the ``count`` classes of least hash."""
     rows = vectors.orderBy(F.xxhash64("cls"), "cls").limit(count).toArrow()
-    return np.array([np.frombuffer(v.as_py(), np.float64) for v in rows.column("v")])
+    by_length: dict[int, list[np.ndarray]] = {}
+    for v in rows.column("v"):
+        v = np.frombuffer(v.as_py(), np.float64)
+        by_length.setdefault(len(v), []).append(v)
+    out, first = {}, 0
+    for n, vs in sorted(by_length.items()):
+        out[n] = (first, np.stack(vs))
+        first += len(vs)
+    return out
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, degree: int = DEGREE, shard: int = SHARD, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
@@ -203,18 +213,20 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, degree: in
                 part = batch.slice(at, 4096)
                 x = [np.frombuffer(v, np.float64) for v in part.column(1).to_pylist()]
                 rows_, where = [], []
-                same = np.array([len(v) == pivots.shape[1] for v in x])
-                good = np.flatnonzero(same)
-                if len(good):
-                    s = np.stack([x[i] for i in good]) @ pivots.T
+                lengths = np.array([len(v) for v in x])
+                for n in np.unique(lengths).tolist():
+                    good = np.flatnonzero(lengths == n)
+                    if n not in pivots:  # a rare length, one cluster
+                        rows_ += good.tolist()
+                        where += [-n] * len(good)
+                        continue
+                    first, of_length = pivots[n]
+                    s = np.stack([x[i] for i in good]) @ of_length.T
                     k = min(overlap, s.shape[1])
                     near = np.argsort(-s, axis=1, kind="stable")[:, :k]
                     for r, c in zip(good, near):
                         rows_ += [int(r)] * k
-                        where += [int(p) for p in c]
-                for r in np.flatnonzero(~same):  # of another length: similar to none of these; kept apart by length
-                    rows_.append(int(r))
-                    where.append(-len(x[r]))
+                        where += [first + int(p) for p in c]
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), part.column(0).take(pa.array(rows_, pa.int64())), part.column(1).take(pa.array(rows_, pa.int64()))], ["c", "cls", "v"])
 
     def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mix_pfair": mixing.ORACLE,
     "op4_embedding_graph": embedding_graph.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
 }

@@ -1,11 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to an alphabet of classes (insult, threat, target, negation, reported speech, ...).
-Five small transducers over that alphabet are composed by running them side by side over each clause:
-the insult and threat machines propose matches with a weight, the target machine raises a match that
-is aimed at someone, the negation and reported-speech machines lower it. A clause scores the weights
-of what matched in it; lone words outside a pattern score nothing. The document's score is a logistic
-function of its clauses' weights, fitted on the training fold.
+Words are mapped to an alphabet of classes (insult, violence, target, negation, reported speech, intent). Transducers over it have arcs
+with an input class, an output class, a weight and a next state; weights of a path multiply, and paths that read the same clause add up.
+
+* The lexicon reads words. A word of weight w comes out as its class, of weight 1, or as a *marked* one, of weight w.
+* The insult transducer passes clauses in which one insult is marked; the threat transducer those in which one violent verb
+  is marked that follows a word of intent. Their union proposes the matches of a clause, one per path.
+* The target transducer raises a match with a target near it, before or after. The negation and reported-speech transducers lower it.
+
+Composition makes one transducer of them, once (``Grammar.machine``). A clause's weight is the sum over its paths; lone words outside a pattern
+score nothing. The document's score is a logistic function of its clauses' weights, fitted on the training fold.
 
 The insult lexicon is learned from the labels: smoothed log odds of words between toxic and clean
 training documents, over a bounded sample of labelled rows.
@@ -17,6 +21,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,153 @@ NEGATION = frozenset("not no never neither nor isn't aren't wasn't don't doesn't
 REPORTED = frozenset("said says say told tells wrote writes quoted quotes reported claims claimed alleged called disait dit écrit sagte sagt schrieb dijo dice escribió".split())
 THREAT = frozenset("kill hurt destroy shoot stab burn strangle tuer töten umbringen matar".split())
 INTENT = frozenset("will gonna shall i'll going want werde will vais voy".split())
+_CLASS_OF = {w: c for c, words in ((6, INTENT), (5, REPORTED), (4, NEGATION), (3, TARGET)) for w in words}
 SEED = {w: 3.0 for w in "idiot moron stupid loser scum trash pathetic disgusting worthless clown imbecile".split()}
 
-OTHER, INSULT, THREATS, AIM, NEG, SAID, WANT, STOP, QUOTE = range(9)
-REACH = 4  # tokens that a negation or a target stays in force
+OTHER, INSULT, THREATS, AIM, NEG, SAID, WANT = CLASSES = range(7)
+MARKED = {INSULT: 7, THREATS: 8}
+SYMBOLS = (*CLASSES, *MARKED.values())
+REACH = 4  # tokens that a negation, an intent or a target stays in force
+
+
+class Transducer:
+    """arcs: state -> symbol -> [(output, weight, next state)]; states can be any hashable values. A path begins in ``start`` and may end in ``final``."""
+
+    def __init__(self, start, final: set, arcs: dict):
+        self.start, self.final, self.arcs = start, final, arcs
+
+    def weight(self, symbols: list[list[tuple[int, float]]]) -> float:
+        """Sum of the weights of all paths that read the sequence; each place has its symbols with weights of their own."""
+        now = {self.start: 1.0}
+        for place in symbols:
+            then: dict = {}
+            for state, w in now.items():
+                arcs = self.arcs.get(state, {})
+                for symbol, own in place:
+                    for _, more, to in arcs.get(symbol, ()):
+                        then[to] = then.get(to, 0.0) + w * own * more
+            now = then
+        return sum(w for state, w in now.items() if state in self.final)
+
+
+def machine_of(start, step, symbols=SYMBOLS, ends=lambda state: True) -> Transducer:
+    """The transducer of all states that ``step(state, symbol)`` reaches; step gives (output, weight, next state), or None for no arc."""
+    arcs: dict = {}
+    todo = [start]
+    while todo:
+        state = todo.pop()
+        if state in arcs:
+            continue
+        arcs[state] = {}
+        for symbol in symbols:
+            if (arc := step(state, symbol)) is not None:
+                arcs[state][symbol] = [arc]
+                todo.append(arc[2])
+    return Transducer(start, {state for state in arcs if ends(state)}, arcs)
+
+
+def union(a: Transducer, b: Transducer) -> Transducer:
+    """Paths of either."""
+    arcs: dict = {}
+    for name, t in (("a", a), ("b", b)):
+        for state, by in t.arcs.items():
+            arcs[name, state] = {s: [(o, w, (name, to)) for o, w, to in out] for s, out in by.items()}
+    both = arcs["start"] = {}
+    for name, t in (("a", a), ("b", b)):
+        for s, out in arcs[name, t.start].items():
+            both.setdefault(s, []).extend(out)
+    final = {(n, f) for n, t in (("a", a), ("b", b)) for f in t.final} | ({"start"} if a.start in a.final or b.start in b.final else set())
+    return Transducer("start", final, arcs)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What b makes of a's output, with both weights; states that lead to no end are left out, the others numbered."""
+    start = (a.start, b.start)
+    arcs: dict = {}
+    todo = [start]
+    while todo:
+        here = todo.pop()
+        if here in arcs:
+            continue
+        arcs[here] = {}
+        for s, out in a.arcs.get(here[0], {}).items():
+            for o, w, to in out:
+                for o2, w2, to2 in b.arcs.get(here[1], {}).get(o, ()):
+                    arcs[here].setdefault(s, []).append((o2, w * w2, (to, to2)))
+                    todo.append((to, to2))
+    final = {x for x in arcs if x[0] in a.final and x[1] in b.final}
+    back: dict = {}
+    for x, by in arcs.items():
+        for out in by.values():
+            for _, _, to in out:
+                back.setdefault(to, set()).add(x)
+    useful, todo = set(), list(final)
+    while todo:
+        x = todo.pop()
+        if x not in useful:
+            useful.add(x)
+            todo += back.get(x, ())
+    number = {x: i for i, x in enumerate([x for x in arcs if x in useful or x == start])}
+    kept = {number[x]: {s: k for s, out in arcs[x].items() if (k := [(o, w, number[to]) for o, w, to in out if to in useful])} for x in number}
+    return Transducer(number[start], {number[x] for x in final}, kept)
+
+
+def _plain(symbol: int) -> int:
+    return {7: INSULT, 8: THREATS}.get(symbol, symbol)
+
+
+def insults() -> Transducer:
+    """Clauses with one marked insult."""
+    return machine_of(0, lambda done, s: (s, 1.0, 1) if s == MARKED[INSULT] and not done else None if s > 6 else (s, 1.0, done), ends=bool)
+
+
+def threats() -> Transducer:
+    """Clauses with one marked violent verb within reach of a word of intent before it. States: tokens for which the intent is in force, or -1 after the mark."""
+
+    def step(left, s):
+        if s == MARKED[THREATS]:
+            return (s, 1.0, -1) if left > 0 else None
+        if s > 6:
+            return None
+        return (s, 1.0, -1 if left < 0 else REACH if s == WANT else max(0, left - 1))
+
+    return machine_of(0, step, ends=lambda state: state < 0)
+
+
+def targets(raised: float) -> Transducer:
+    """The mark's weight is raised once if a target is within reach before or after. States: (tokens in force, mark seen)."""
+
+    def step(state, s):
+        left, seen = state
+        if s > 6:
+            return (s, raised, (0, True)) if left > 0 else (s, 1.0, (REACH, True))
+        if seen:
+            return (s, raised, (0, True)) if s == AIM and left > 0 else (s, 1.0, (max(0, left - 1), True))
+        return (s, 1.0, (REACH if s == AIM else max(0, left - 1), False))
+
+    return machine_of((0, False), step)
+
+
+def negations(lowered: float) -> Transducer:
+    """A mark within reach of a negation before it is lowered."""
+
+    def step(left, s):
+        if s > 6:
+            return (s, lowered if left > 0 else 1.0, -1)
+        return (s, 1.0, -1 if left < 0 else REACH if s == NEG else max(0, left - 1))
+
+    return machine_of(0, step)
+
+
+def reports(lowered: float) -> Transducer:
+    """A mark after a word of reported speech, anywhere before it in the clause, is lowered."""
+    return machine_of(0, lambda said, s: (s, lowered if said == 1 else 1.0, -1) if s > 6 else (s, 1.0, 1 if s == SAID and said == 0 else said))
+
+
+@lru_cache(maxsize=8)
+def composed(aimed: float, negated: float, reported: float) -> Transducer:
+    proposed = union(insults(), threats())
+    return compose(compose(compose(proposed, targets(aimed)), negations(negated)), reports(reported))
 
 
 @dataclass
@@ -48,61 +196,21 @@ class Grammar:
     reported: float = 0.6
     threat: float = 4.0
 
-    def symbol(self, token: str) -> int:
+    @property
+    def machine(self) -> Transducer:
+        return composed(self.aimed, self.negated, self.reported)
+
+    def symbols(self, token: str) -> list[tuple[int, float]]:
+        """The lexicon's arcs for a word."""
         if token in self.lexicon:
-            return INSULT
+            return [(INSULT, 1.0), (MARKED[INSULT], self.lexicon[token])]
         if token in THREAT:
-            return THREATS
-        if token in TARGET:
-            return AIM
-        if token in NEGATION:
-            return NEG
-        if token in REPORTED:
-            return SAID
-        if token in INTENT:
-            return WANT
-        return OTHER
+            return [(THREATS, 1.0), (MARKED[THREATS], self.threat)]
+        return [(_CLASS_OF.get(token, OTHER), 1.0)]
 
     def clause(self, tokens: list[str], quoted: bool = False) -> float:
-        """Weight of what the composed machines match in one clause (without its end mark)."""
-        total = 0.0
-        negation = aim = want = -99  # where each machine last left its start state
-        said = quoted
-        pending = 0.0  # last match, which a following target still raises
-        at_pending = -99
-        for i, token in enumerate(tokens):
-            s = self.symbol(token)
-            if s == OTHER:
-                continue
-            if s == NEG:
-                negation = i
-            elif s == SAID:
-                said = True
-            elif s == WANT:
-                want = i
-            elif s == AIM:
-                if i - at_pending <= REACH and pending:
-                    total += pending * (self.aimed - 1)
-                    pending = 0.0
-                aim = i
-            else:
-                if s == INSULT:
-                    w = self.lexicon[token]
-                elif i - want <= REACH:
-                    w = self.threat
-                else:  # a violent verb without intent is no threat
-                    continue
-                if i - negation <= REACH:
-                    w *= self.negated
-                if said:
-                    w *= self.reported
-                if i - aim <= REACH:
-                    total += w * self.aimed
-                    pending = 0.0
-                else:
-                    total += w
-                    pending, at_pending = w, i
-        return total
+        """Weight of all that the grammar matches in one clause (without its end mark). A quoted clause counts as reported."""
+        return self.machine.weight([[(SAID, 1.0)]] * quoted + [self.symbols(t) for t in tokens])
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Greatest clause weight, log of the summed weights, matched clauses (log): over the whole text."""
@@ -160,10 +268,10 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([yes[w] for w in words], pa.int64()), pa.array([no[w] for w in words], pa.int64())], ["word", "yes", "no"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3, most_words: int = 5_000) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3) -> Grammar:
     """Learn the lexicon, then the logistic coefficients, from a bounded sample of the training fold.
 
-    Without any usable label the seed lexicon and the default coefficients are kept.
+    The lexicon is as large as the sample's texts make it: words of at least ``least`` toxic documents whose odds are sure. Without any usable label the seed lexicon and the default coefficients are kept.
     """
     rows = training_rows(docs, labels, sample)
     counts = rows.mapInArrow(_word_counts, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
@@ -176,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 3
     learned = counts.where((F.col("word") != "") & (F.col("yes") >= least)).select("word", "yes", "no", odds.alias("odds"))
     # a word counts if its odds stay above e**2 when its clean documents get two standard errors more
     sure = F.log((F.col("yes") + 0.1) / (total.yes + 1.0)) - F.log((F.col("no") + 0.5 + 2 * F.sqrt(F.col("no") + 0.5)) / (total.no + 1.0)) > 1.5
-    for r in learned.where(sure & (F.col("odds") > 2)).orderBy(F.desc("odds"), "word").limit(most_words).collect():
+    for r in learned.where(sure & (F.col("odds") > 2)).orderBy(F.desc("odds"), "word").collect():
         grammar.lexicon[r.word] = min(4.0, r.odds / 2)
     shared = grammar
 

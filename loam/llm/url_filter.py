@@ -1,10 +1,11 @@
 """URL verdicts: explicit rules first, then naive Bayes over segmented host and path words.
 
 Hosts often join words without a separator. A unigram model over known words, with a length penalty
-for unknown stretches, gives the most probable split by the Viterbi recursion. The words of host and
-path then go to a multinomial naive Bayes model. Both models are trained here: the unigram counts
-come from a built-in word list and from the hosts and path words of a bounded sample of the pages, the
-classes from hosts that hold a listed trigger word (weak labels).
+for unknown stretches, gives the most probable split by the Viterbi recursion, in time linear in the name. The words of host and
+path then go to a multinomial naive Bayes model. Both models are trained here. Unigram counts come from a built-in word list and from all
+pages: a word counts once for each host that has it as a whole part of its name or of a path, so that one site's joined name is no word. The
+classes of the Bayes model are weak labels, since no table labels urls: a host that holds a listed trigger word is bad. The model
+goes beyond the list by the other words of such hosts' urls.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ COMMON = (
     "sport sports city school science art photo video online forum wiki docs help support about contact media press daily local best new my your our "
     "example com net org www m en de fr es html index search user item list view go get all one two top"
 ).split()
+LEAST_HOSTS, LONGEST, MOST_WORDS = 3, 32, 50_000  # of the vocabulary that is learned
+UNKNOWN_LETTER = 3.0
 WORDS = re.compile(r"[^\W\d_]+|\d+")
 NEUTRAL = frozenset("www m blog com net org example en de fr es html index".split())  # parts of most hosts and paths: no evidence
 
@@ -63,21 +66,33 @@ class UrlModel:
     unknown: float
     log_odds: dict[str, float]
     prior: float
-    longest: int = 24
+
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.unigram), default=0)
+
+    def cost(self, part: str) -> float:
+        """Log probability of one part; an unknown stretch costs ``unknown`` and more per character."""
+        p = self.unigram.get(part)
+        return p if p is not None else self.unknown - UNKNOWN_LETTER * len(part)
 
     def split(self, text: str) -> list[str]:
-        """The most probable split of a joined name; an unknown stretch costs ``unknown`` and more per character."""
+        """The most probable split of a joined name of any length. Ties go to the longer last part."""
         n = len(text)
-        if n <= 1 or n > 256:  # a label longer than any DNS name stays whole
+        if n <= 1:
             return [text] if text else []
-        best = [0.0] + [-math.inf] * n
-        back = [0] * (n + 1)
+        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        open_, begun = -math.inf, 0  # the best split that ends within an unknown stretch, and where that begins
+        get = self.unigram.get
         for end in range(1, n + 1):
+            if best[end - 1] + self.unknown > open_:
+                open_, begun = best[end - 1] + self.unknown, end - 1
+            open_ -= UNKNOWN_LETTER
+            score, at = open_, begun
             for begin in range(max(0, end - self.longest), end):
-                p = self.unigram.get(text[begin:end])
-                v = best[begin] + (p if p is not None else self.unknown - 3.0 * (end - begin))
-                if v > best[end]:
-                    best[end], back[end] = v, begin
+                p = get(text[begin:end])
+                if p is not None and best[begin] + p > score:
+                    score, at = best[begin] + p, begin
+            best[end], back[end] = score, at
         out, end = [], n
         while end:
             out.append(text[back[end] : end])
@@ -93,26 +108,45 @@ class UrlModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(hosts: list[tuple[str, str, int]]) -> UrlModel:
-    """Fit on (host, first path word, urls). Works without any host, from the word lists alone."""
-    counts = Counter({w: 400 for w in COMMON})
-    counts.update({w: 400 for w in TRIGGERS if len(w) > 2})
-    counts.update({w: 40 for w in TRIGGERS if len(w) <= 2})
-    for host, path, n in hosts:
-        for part in WORDS.findall(host):
-            if len(part) > 2:
-                counts[part] += min(n, 3)
-    total = sum(counts.values())
-    unigram = {w: math.log(c / total) for w, c in counts.items() if c >= 40}
-    model = UrlModel(unigram, math.log(0.5 / total), {}, 0.0)
+def counted(rows: list[tuple[str, str, int]]) -> tuple[dict[str, int], list[tuple[str, str, int]]]:
+    """(hosts of each word, the rows) of (host, path, urls) rows on the driver; ``word_hosts`` does this for tables."""
+    seen = {(w, host) for host, path, _ in rows for w in WORDS.findall(host) + WORDS.findall(path.lower()) if not w.isdigit()}
+    return Counter(w for w, _ in seen), rows
+
+
+def word_hosts(urls: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """(word, hosts): on how many hosts each word of 3 to ``LONGEST`` letters is a whole part of host or path, over all pages; the ``most_words`` commonest on ``LEAST_HOSTS`` or more."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"\p{L}+"), F.lit(0))
+    rows = urls.where("host <> ''").select("host", F.explode(F.array_distinct(words)).alias("word")).where(f"length(word) between 3 and {LONGEST}").distinct()
+    return rows.groupBy("word").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS).orderBy(F.desc("hosts"), "word").limit(most_words)
+
+
+def composite(word: str, known) -> bool:
+    """Whether a word is two or more known words of three letters or more: a name that many hosts share is still a joined one."""
+    n = len(word)
+    reached = [True] + [False] * n
+    for end in range(3, n + 1):
+        reached[end] = any(reached[b] and word[b:end] in known for b in range(end - 2) if (b, end) != (0, n))
+    return reached[n]
+
+
+def train(counts: dict[str, int], rows: list[tuple[str, str, int]]) -> UrlModel:
+    """Fit on hosts of each word and rows of (host, path, urls). Works without any, from the word lists alone."""
+    known = Counter({w: 400 for w in COMMON})
+    known.update({w: 400 for w in TRIGGERS if len(w) > 2})
+    known.update({w: 40 for w in TRIGGERS if len(w) <= 2})
+    for w, n in sorted(counts.items(), key=lambda c: (len(c[0]), c[0])):
+        if len(w) > 2 and n >= LEAST_HOSTS and (w in known or not composite(w, known)):
+            known[w] += 10 * n
+    total = sum(known.values())
+    model = UrlModel({w: math.log(c / total) for w, c in known.items()}, math.log(0.5 / total), {}, 0.0)
     trigger = frozenset(TRIGGERS)
     seen = {True: Counter({w: 4 for w in TRIGGERS}), False: Counter({w: 4 for w in COMMON if w not in NEUTRAL})}
     sites = {True: 1.0, False: 3.0}
-    for host, path, n in hosts:
-        words = model.tokens(host, path)
-        bad = any(w in trigger for w in words)
+    for host, path, _ in rows:
+        bad = any(w in trigger for w in model.tokens(host, ""))
         sites[bad] += 1
-        seen[bad].update(w for w in words if w not in NEUTRAL)
+        seen[bad].update(w for w in model.tokens(host, path) if w not in NEUTRAL)
     vocabulary = seen[True].keys() | seen[False].keys()
     sums = {k: sum(c.values()) + len(vocabulary) for k, c in seen.items()}
     model.log_odds = {w: math.log((seen[True][w] + 1) / sums[True]) - math.log((seen[False][w] + 1) / sums[False]) for w in vocabulary}
@@ -121,10 +155,11 @@ def train(hosts: list[tuple[str, str, int]]) -> UrlModel:
 
 
 def fit(urls: DataFrame, sample: int = 20_000) -> UrlModel:
-    """Train on at most ``sample`` (host, first path part) pairs, those of least hash. ``urls`` has host and path."""
-    pairs = urls.where("host <> ''").groupBy("host", F.regexp_extract("path", "^/([^/]*)", 1).alias("head")).agg(F.count("*").alias("n"))
-    rows = pairs.orderBy(F.xxhash64("host", "head"), "host", "head").limit(sample).collect()
-    return train([(r.host, "/" + r.head, r.n) for r in rows])
+    """Unigram counts over all rows; the Bayes model on at most ``sample`` labelled (host, path) pairs, those of least hash. ``urls`` has host and path."""
+    counts = {r.word: r.hosts for r in word_hosts(urls).collect()}
+    pairs = urls.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+    rows = pairs.orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample).collect()
+    return train(counts, [(r.host, r.path, r.n) for r in rows])
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = 20_000, model: UrlModel | None = None) -> DataFrame:

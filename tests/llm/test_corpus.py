@@ -136,19 +136,34 @@ def test_digest_neighbours(spark, tmp_path):
 
 def test_mixing(spark):
     d = documents(spark, ["t"] * 900, sources=[None if i % 90 == 1 else "hot" if i % 3 == 0 else f"s{i % 4}" for i in range(900)])
-    plan = mixing.plan_mix(d, block_rows=4, frame=100).collect()
-    sizes = {r.source: r for r in mixing.source_sizes(d, 4, frame=100).collect()}
-    assert len(plan) == 900 and min(r.repeats for r in plan) >= 1 and sum(r.slots for r in sizes.values()) == 100
-    order = sorted({r.slot: r.source for r in mixing.frame_schedule(mixing.source_sizes(d, 4, frame=100)).collect()}.items())
-    assert [s for s, _ in order] == list(range(100))
-    done = dict.fromkeys(sizes, 0)
-    for slot, source in order:
-        done[source] += 1
-        for k, r in sizes.items():
-            assert abs(done[k] - (slot + 1) * r.slots / 100) < 1
-    mixed = mixing.mix(d, block_rows=4, frame=100)
+    plan = mixing.plan_mix(d, block_rows=4).collect()
+    sizes = {r.source: r for r in mixing.source_sizes(d, 4).collect()}
+    assert len(plan) == 900 and min(r.repeats for r in plan) >= 1 and sum(r.units for r in sizes.values()) == mixing.UNITS
+    assert sorted((r.source or "", r.block) for r in plan) == sorted((r.source or "", i // 4) for r in sizes.values() for i in range(r.n_rows))
+    mixed = mixing.mix(d, block_rows=4)
     assert mixed.columns == d.columns and mixed.count() == sum(r.repeats for r in plan)
-    assert mixing.plan_mix(d.limit(0)).count() == 0
+    assert mixing.plan_mix(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
+    # fewer, larger blocks of the same rows
+    few = mixing.plan_mix(d, block_rows=4, most_blocks=10).collect()
+    assert len(few) == 900 and len({(r.source, r.block) for r in few}) <= 10 + len(sizes)
+
+
+def test_mixing_to_given_weights(spark):
+    d = documents(spark, ["t"] * 600, sources=["a" if i < 400 else "b" if i < 590 else "c" for i in range(600)])
+    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0), ("other", 9.0)], "source string, weight double")
+    order = [r.source for r in mixing.schedule(mixing.source_sizes(d, 2, weights=weights)).orderBy("slot").collect()]
+    for t in range(len(order)):
+        for source, w in (("a", 0.25), ("b", 0.5), ("c", 0.25)):
+            assert abs(order[: t + 1].count(source) - (t + 1) * w) < 1
+    plan = mixing.plan_mix(d, block_rows=2, weights=weights).collect()
+    given = {s: sum(r.repeats for r in plan if r.source == s) for s in "abc"}
+    assert abs(given["b"] - 2 * given["a"]) <= 4 and abs(given["c"] - given["a"]) <= 4
+    with pytest.raises(Exception):
+        mixing.plan_mix(d, weights=weights.where("source <> 'c'")).collect()
+    # extra columns with the names that the operator uses inside, repeated and null ids
+    odd = d.withColumns({"__source": d["text"], "__N": d["doc_id"], "ss": d["doc_id"], "units": d["doc_id"]}).union(d.withColumns({"__source": d["text"], "__N": d["doc_id"], "ss": d["doc_id"], "units": d["doc_id"]}).selectExpr("null", *["text", "lang", "source", "n_chars", "__source", "__N", "ss", "units"]).limit(5))
+    mixed = mixing.mix(odd, block_rows=2)
+    assert mixed.columns == odd.columns and mixed.select("doc_id").distinct().count() == 601
 
 
 def test_packing(spark):
@@ -189,7 +204,7 @@ def test_urls(spark):
     got = [tuple(r) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).select("host", "path", "rule", "verdict").collect()]
     assert got[:4] == [("www.x.com", "/en/1", "com/en/", "block"), ("a.example.com", "/en/7", "example.com/en/7", "allow"), ("", "", None, "allow"), ("", "", None, "allow")]
     assert got[4:] == [("a.net", "/de/8", "net/de/", "allow"), ("example.net", "/de/8x", "example.net/de/8", "block"), ("casinowin.example.org", "/fr/", None, "block")]
-    assert url_filter.train([]).split("cheapcasinobonus") == ["cheap", "casino", "bonus"]
+    assert url_filter.train({}, []).split("cheapcasinobonus") == ["cheap", "casino", "bonus"]
 
 
 def test_paragraphs(spark):
@@ -230,7 +245,7 @@ def test_embeddings_dense_group(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(rows, shard=50).collect()}
     assert s[:400].sum() > 100_000 and [got[i] for i in range(600)] == s.sum(1).tolist()
     # the same as one cluster: all its blocks meet each other
-    monkeypatch.setattr(embedding_graph, "_pivots", lambda vectors, count: y[:1])
+    monkeypatch.setattr(embedding_graph, "_pivots", lambda vectors, count: {16: (0, y[:1])})
     got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(rows, shard=150).collect()}
     assert [got[i] for i in range(600)] == s.sum(1).tolist()
 
@@ -245,10 +260,10 @@ def test_mixing_by_weight(spark):
     for slot, source in enumerate(order):
         done[source] += 1
         assert all(abs(done[k] - (slot + 1) * r.weight) < 1 for k, r in sizes.items())
-    assert len(order) > 3 * mixing.FRAME
-    plan = mixing.plan_mix(d, 2).collect()
+    assert len(order) > 3_000
+    plan = mixing.plan_mix(d, block_rows=2).collect()
     length = max(r.first_slot for r in plan) + 1
-    assert len(plan) == 6_005 and mixing.mix(d, 2).count() == sum(r.repeats for r in plan)
+    assert len(plan) == 6_005 and mixing.mix(d, block_rows=2).count() == sum(r.repeats for r in plan)
     assert all(order[r.first_slot] == r.source for r in plan)
     given = {k: sum(r.repeats for r in plan if r.source == k) / 2 for k in sizes}
     assert all(abs(given[k] - length * r.weight) < 2 for k, r in sizes.items())

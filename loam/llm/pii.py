@@ -6,8 +6,8 @@ class per step, forward and backward; a linear chain over the tags O and B-/I- o
 decoded by Viterbi. It is trained in numpy, by gradient descent on the chain's log likelihood, from
 labelled spans that a seeded generator writes, among them decoys (dates, prices, hashes, versions).
 
-A span of any kind must hold a digit or an at sign. So only windows around those characters are run
-at first. Windows overlap by half. A span that touches a window's end inside the text, and lies in no
+A span of any kind must hold a digit or an at sign (``plausible``). So only windows around those characters are run
+at first, and others where ``everywhere`` is asked for; tests compare both. Windows overlap by half. A span that touches a window's end inside the text, and lies in no
 whole one, is decoded again in ever wider windows until it ends within, wherever that is; each document's
 decodings are reconciled over the whole text (``reconcile``).
 """
@@ -306,10 +306,10 @@ def zones(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def windows(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, the text goes on before, ... after): windows that overlap by half cover each zone."""
+def windows(text: str, everywhere: bool = False) -> list[tuple[int, int, bool, bool]]:
+    """(start, end, the text goes on before, ... after): windows that overlap by half cover each zone, or the whole text."""
     out = []
-    for a, b in zones(text):
+    for a, b in [(0, len(text))] if everywhere else zones(text):
         at = a
         while True:
             end = min(at + WINDOW, b)
@@ -391,13 +391,16 @@ def _decoded(texts: list[str | None], jobs: list, model: Tagger):
                 yield i, ((int(row[s]) - 1) // 2, int(a + s + lead), int(a + e - (len(t) - len(t.rstrip()))), bool((s == 0 and before) or (e == len(row) and after)))
 
 
-def find(texts: list[str | None], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each whole text; null counts as empty. Without a model both are the base."""
+def find(texts: list[str | None], model: Tagger | None, everywhere: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each whole text; null counts as empty. Without a model both are the base.
+
+    ``everywhere``: the first windows cover the whole text, not the zones alone, at many times the cost.
+    """
     base = [sorted(base_spans(t)) if t else [] for t in texts]
     if model is None:
         return [(b, b) for b in base]
     found: dict[int, list] = {}
-    jobs = [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
+    jobs = [(i, w) for i, t in enumerate(texts) if t for w in windows(t, everywhere)]
     pad = WINDOW // 2
     while jobs:
         cut: dict[int, list] = {}

@@ -1,14 +1,17 @@
-"""Documents to packed training sequences: five stages, each reading what its predecessor kept."""
+"""Documents to packed training sequences: five stages, each reading what its predecessor kept.
+
+Of every stage: an empty table gives an empty one with the same columns; columns beyond those of documents go along, whatever their names;
+null and repeated ids are rows like others; null and empty texts are clean, similar to nothing, without personal data, and one empty piece.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import jaccard_join, mixing, packing, pii, toxicity
-from loam.llm.common import table
+from loam.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with similar shingles, the one of least doc_id."""
+    """Of each group of documents with similar shingles, those of the least doc_id; rows with a null id all stay."""
     return jaccard_join.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind; n_chars is counted anew."""
+    """Personal data gives way to the name of its kind; n_chars is counted anew where the text changed."""
     return pii.redact(docs)
 
 
@@ -49,12 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again.
-
-    The files go to the folder that executors share (spark.checkpoint.dir), or to a temporary one where none is named.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{root or tempfile.mkdtemp(prefix='loam-pipeline-')}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result but the last is written to the folder that executors share and read again."""
+    root = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

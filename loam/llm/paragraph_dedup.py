@@ -4,8 +4,9 @@ Texts often repeat passages that don't begin at a line. So paragraphs are cut by
 the hash of it and its successor is the least within ``REACH`` words on both sides. Equal passages then have equal
 cuts inside, whatever surrounds them. A paragraph's MinHash signature over its word pairs is
 banded; the bands are tuned for the recall wanted at the threshold. Paragraphs of equal content are
-one node. Nodes that collide in a band are joined to the least of the bucket (a star) and verified by
-the exact Jaccard index of their word pairs; those that are unlike it meet all others of the bucket in the same way. The links
+one node. Nodes that collide in a band are verified by the exact Jaccard index of their word pairs: two that are alone in a bucket as a pair, a
+larger bucket where all its nodes meet, each of them against all others; a bucket beyond ``BUCKET`` nodes is cut into parts, and each two parts
+meet. Of a bucket's links a spanning forest goes on, so a hot bucket gives no more links than it has nodes. The links
 are clustered by connected components. Of each cluster the
 first occurrence (least doc_id, then place) stays; runs of other occurrences with at least
 ``MIN_WORDS`` words are marked for removal.
@@ -27,6 +28,7 @@ THRESHOLD = 0.8
 RECALL = 0.95
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = (1 << 64) - 1
+BUCKET = 4_000  # nodes that meet in one piece of work
 _FLUSH = 200_000  # paragraphs that a task gathers before it sends
 
 
@@ -209,6 +211,50 @@ def _stars(batches, bits: int):
     release()
 
 
+def forest(names: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of sets whose Jaccard index is at the threshold or above: each set is compared with all others until all are connected."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    mark = np.zeros(len(tokens), np.int32)
+    label, parts, out = np.arange(m), m, []
+    for i in range(m):
+        if parts == 1:
+            break
+        own = place[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[place], start)
+        mark[own] = 0
+        near = np.flatnonzero((both >= threshold * (size + size[i] - both)) & (label != label[i]))
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            out += [(int(names[i]), int(names[k])) for k in near[first]]
+            label[np.isin(label, others)] = label[i]
+            parts -= len(others)
+    return out
+
+
+def _forests(batches, threshold: float):
+    """Of rows (k, i, j, d, s) in order of (k, i, j): the links of a forest of each group's sets."""
+
+    def solve(held):
+        links = forest(np.array([d for d, _ in held]), [np.frombuffer(s, np.int64) for _, s in held], threshold)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for k, i, j, d, s in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if (k, i, j) != now:
+                if len(held) > 1:
+                    yield solve(held)
+                now, held = (k, i, j), []
+            held.append((d, s))
+    if len(held) > 1:
+        yield solve(held)
+    release()
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document id: doc_id, n_removed (words), spans (word offsets ``start:end`` of removed passages, comma-joined).
 
@@ -224,7 +270,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     met = texts.mapInArrow(lambda b: _collide(b, bands, rows, bits), "g int, blob binary").repartition(n, "g").sortWithinPartitions("g").mapInArrow(lambda b: _stars(b, bits), "k long, a long, b long")
     met = checkpointed(met)
     freed(spark)
-    candidates = met.where("b is not null").select("a", "b").distinct()
+    candidates = met.where("b is not null").select("k", "a", "b")
     ends = candidates.select("a").union(candidates.select("b")).distinct()
     gate = spark.sparkContext.broadcast(IdFilter(ends, "a"))
 
@@ -267,13 +313,15 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
         joined = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
         return checkpointed(joined.mapInArrow(verify, "a long, b long"))
 
-    links = verified(candidates)
-    # who is unlike the head of a bucket meets its other members
+    links = verified(candidates.where("k is null").select("a", "b").distinct())
+    # larger buckets: their nodes' sets meet
     starred = met.where("k is not null and b is not null")
-    unlike = starred.join(links, ["a", "b"], "left_anti").select("k", F.col("b").alias("u"))
-    others = starred.select("k", F.col("b").alias("m")).distinct()
-    more = unlike.join(others, "k").where("u <> m").select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
-    links = links.union(verified(more.join(candidates, ["a", "b"], "left_anti")))
+    nodes = starred.select("k", F.col("b").alias("d")).union(starred.select("k", F.col("a").alias("d")).distinct()).distinct()
+    parts = checkpointed(nodes.groupBy("k").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts")).where("parts > 1")).withColumnRenamed("k", "hot")
+    nodes = nodes.join(parts, F.col("k") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.expr("cast(pmod(xxhash64(d), parts) as int)"))
+    nodes = nodes.select("k", "d", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j")))).alias("at")).select("k", "at.i", "at.j", "d")
+    meeting = nodes.join(sets, "d").select("k", "i", "j", "d", "s").repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j", "d")
+    links = links.union(checkpointed(meeting.mapInArrow(lambda b: _forests(b, threshold), "a long, b long").distinct()))
     clusters = components(links)
     # roots: cluster of every digest that occurs more than once or has a similar one
     many = met.where("b is null").select(F.col("a").alias("node")).distinct()

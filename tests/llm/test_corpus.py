@@ -269,6 +269,57 @@ def test_mixing_by_weight(spark):
     assert all(abs(given[k] - length * r.weight) < 2 for k, r in sizes.items())
 
 
+def test_forest_by_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        base = [rng.randrange(40) for _ in range(10)]
+        sets = [np.unique([rng.randrange(40) if rng.random() < 0.1 else t for t in base] if rng.random() < 0.7 else [rng.randrange(40) for _ in range(10)]) for _ in range(rng.randrange(2, 14))]
+        links = paragraph_dedup.forest(np.arange(100, 100 + len(sets)), sets, 0.7)
+
+        def roots(pairs):
+            root = list(range(len(sets)))
+            for _ in sets:
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.7 * len(set(sets[i]) | set(sets[j]))]
+        links = [(a - 100, b - 100) for a, b in links]
+        assert roots(links) == roots(near) and len(links) == len(sets) - len(set(roots(near))) and all((max(p), min(p)) in near for p in links)
+
+
+def test_paragraph_recall_and_odd_input(spark):
+    """Links of edited passages against brute force over all paragraphs; nulls, repeats, long texts and clashing columns."""
+    rng = random.Random(11)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    found = wanted = 0
+    texts = []
+    while len(texts) < 120:  # of one paragraph each
+        a = fresh(20)
+        b = a[:-1] + fresh(1)
+        if all(len(paragraph_dedup.paragraphs(" ".join(t))[1]) == 1 for t in (a, b)):
+            texts += [" ".join(a), " ".join(b)]
+
+    def facts(t):
+        w, start = paragraph_dedup.paragraphs(t)
+        pairs = paragraph_dedup.pair_hashes(w, start)
+        return set(pairs.tolist()) if len(start) == 1 else set()
+
+    sets = [facts(t) for t in texts]
+    got = {r.doc_id: r.n_removed for r in paragraph_dedup.repeated_passages(documents(spark, texts), min_words=5).collect()}
+    for i in range(0, len(texts), 2):
+        x, y = sets[i], sets[i + 1]
+        if x and y and len(x & y) >= 0.8 * len(x | y):
+            wanted += 1
+            found += got[i + 1] > 0
+    assert wanted >= 20 and found >= 0.9 * wanted
+    shared = " ".join(fresh(60))
+    d = documents(spark, [shared, None, "", "one", "x " * 200_000, shared, shared], [5, 1, None, None, 2, 5, None])
+    d = d.withColumn("start", d["doc_id"]).withColumn("root", d["text"]).withColumn("node", d["text"])
+    rows = {r.doc_id: r for r in paragraph_dedup.repeated_passages(d).collect()}
+    assert set(rows) == {1, 2, 5} and rows[1].n_removed == 0 and paragraph_dedup.repeated_passages(d.limit(0)).count() == 0
+
+
 def test_paragraphs_beside_unrelated_heads(spark):
     # in every band that two near copies share, the least digest is that of an unlike paragraph
     rng = random.Random(8)
@@ -289,8 +340,8 @@ def test_paragraphs_beside_unrelated_heads(spark):
             break
     texts, left = [a, b], set(np.flatnonzero(x[3] == y[3]).tolist())
     for _ in range(20_000):
-        keep = rng.randrange(26)
-        c = [fresh() if i < keep < i + 9 else t for i, t in enumerate(a)]
+        new_from = rng.randrange(18)
+        c = [fresh() if new_from <= i < new_from + 8 else t for i, t in enumerate(a)]
         z = facts(c)
         new = {k for k in left if z[3][k] == x[3][k]}
         if new and z[0] == 1 and z[2] < min(x[2], y[2]) and alike(x, z) < 0.8 > alike(y, z):

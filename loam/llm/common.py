@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,10 @@ def freed(spark: SparkSession) -> None:
 
     They go when the driver's last reference is collected, which otherwise may not happen before the job ends.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what one collection lets go is what the next one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def release() -> None:

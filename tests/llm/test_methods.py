@@ -300,3 +300,63 @@ def test_embeddings_of_mixed_lengths_and_sizes(spark):
         true = (y @ y.T >= 0.95).sum(1) - 1
         assert sum(got[i].n_links for i in own if i) >= 0.9 * sum(t for i, t in zip(own, true) if i)
     assert embedding_graph.near_duplicates(rows.limit(0)).count() == 0
+
+
+# --- similar documents --------------------------------------------------------------------------
+
+
+def test_join_of_a_hot_group(spark):
+    """Tokens that many documents of one flush have; extra columns with the names that the join uses inside."""
+    from loam.llm import jaccard_join
+    from test_corpus import similar_by_force
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            t[rng.randrange(80)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base[:60]), "long words here " * 60_000, "long words here " * 50_000 + "end"]
+    d = documents(spark, texts).coalesce(1)
+    d = d.withColumns({"cls": d["text"], "n": d["text"], "n_shingles": d["text"], "whole": d["text"], "component_id": d["text"]})
+    assert sorted(map(tuple, jaccard_join.similar_documents(d).collect())) == similar_by_force(texts)
+
+
+def test_jobs_of_a_hot_key(monkeypatch):
+    """Pairs of keys that are cut into jobs are those of keys that aren't."""
+    import pyarrow as pa
+
+    from loam.llm import jaccard_join as j
+    from loam.llm.common import planes
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(1, 1 << 47, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 40)) for _ in range(70)]
+    df = {t: sum(t in s for s in map(set, sets)) for t in pool.tolist()}
+    rows = []
+    for i, s in enumerate(sets):
+        f = np.array([df[t] for t in s.tolist()], np.uint64)
+        order = np.lexsort((s, f))
+        rows.append((1000 + i, len(s), planes(s[order], 6) + planes(f[order], 2)))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["cls", "n", "whole"])
+
+    def pairs():
+        blobs = sorted((p, b) for x in j._index([batch], 50, 4, 3) for p, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
+        out, jobs = [], []
+        for x in j._meet([pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["p", "blob"])], 50):
+            for r in x.to_pylist():
+                jobs.append((r["i"], r["j"], r["job"])) if r["job"] is not None else out.append((r["a"], r["b"], r["na"], r["nb"]))
+        if jobs:
+            work = pa.RecordBatch.from_arrays([pa.array([x[k] for x in jobs], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["i", "j", "job"])
+            out += [(r["a"], r["b"], r["na"], r["nb"]) for x in j._work([work], 50) for r in x.to_pylist()]
+        return set(out), len(jobs)
+
+    whole, none = pairs()
+    monkeypatch.setattr(j, "_HOT_KEY", 5)
+    monkeypatch.setattr(j, "_PART", 7)
+    cut, many = pairs()
+    assert none == 0 < many and cut == whole
+    near = {(1000 + a, 1000 + b) for a in range(70) for b in range(a + 1, 70) if 100 * len(set(sets[a]) & set(sets[b])) >= 50 * len(set(sets[a]) | set(sets[b]))}
+    assert near and near <= {(a, b) for a, b, _, _ in whole}

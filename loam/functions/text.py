@@ -12,8 +12,8 @@ MIN_BYTES = 3
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of at least three bytes, stop words removed, not stemmed; null gives none."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+")
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.octet_length(w) >= MIN_BYTES) & ~F.array_contains(stops, w))
+    # that many literals become one look-up in a set
+    return F.filter(words, lambda w: (F.octet_length(w) >= MIN_BYTES) & ~w.isin(*STOP_WORDS))
 
 
 def squeeze(text: Column) -> Column:

@@ -30,12 +30,22 @@ def hyperplanes(dimension: int, planes: int = PLANES, seed: int = SEED) -> np.nd
 
 
 def signature(v: Column, planes: np.ndarray) -> Column:
-    """Bit i is set if the product with plane i isn't negative; the zero vector has all bits."""
-    bits = [F.when(dot(v, F.array(*[F.lit(float(x)) for x in p])) >= 0, 1 << i).otherwise(0).cast("long") for i, p in enumerate(planes)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return total
+    """Bit i is set if the product with plane i isn't negative; the zero vector has all bits, null has none. Whole batches are multiplied at once."""
+    bits = 1 << np.arange(len(planes), dtype=np.int64)
+
+    @F.pandas_udf(ty.LongType())
+    def signed(batch: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(batch), dtype="Int64")
+        known = np.flatnonzero(batch.notna())
+        lengths = np.array([len(x) for x in batch.iloc[known]], int)
+        for n in np.unique(lengths):
+            rows = known[lengths == n]
+            x = np.stack([np.asarray(batch.iloc[r], np.float64) for r in rows]) if n else np.zeros((len(rows), 0))
+            k = min(int(n), planes.shape[1])
+            out.iloc[rows] = ((x[:, :k] @ planes[:, :k].T >= 0) * bits).sum(1)
+        return out
+
+    return signed(v)
 
 
 @F.pandas_udf(ty.BinaryType())

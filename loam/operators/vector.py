@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -35,20 +35,29 @@ def summary(vectors: DataFrame, dimension: int, planes: int = V.PLANES) -> DataF
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_vectors"), F.lit(dimension).alias("dimension"), F.lit(planes).alias("num_planes"), F.count("*").alias("num_buckets"), F.coalesce(F.max("n"), F.lit(0)).alias("max_bucket_size"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_bucket_size"))
 
 
-def approximate(vectors: DataFrame, query: list[float], k: int, planes: np.ndarray) -> DataFrame:
+def bucket_sizes(vectors: DataFrame) -> dict[int, int]:
+    """Vectors of each signature, at most 2**planes of them. vectors: signed."""
+    return {r.signature: r.n for r in vectors.where("signature is not null").groupBy("signature").agg(F.count("*").alias("n")).collect()}
+
+
+def approximate(vectors: DataFrame, query: list[float], k: int, planes: np.ndarray, sizes: dict[int, int] | None = None) -> DataFrame:
     """(doc_id, score): buckets by rising Hamming distance (ties: signature) until 8k candidates, then ranked by cosine.
 
-    Few vectors, or too few candidates, are searched exactly. vectors: signed. Only the bucket sizes, at most 2**planes rows,
-    are ordered in one place.
+    Few vectors, or too few candidates, are searched exactly. vectors: signed, best with the signatures stored; sizes: of its buckets,
+    counted here if they aren't given. The search scans one column for the chosen signatures.
     """
-    n = vectors.count()
+    sizes = bucket_sizes(vectors) if sizes is None else sizes
+    n = sum(sizes.values())
     if n <= SMALL or k >= n:
         return exact(vectors, query, k)
     bits = sum(1 << i for i, p in enumerate(planes) if float(np.dot(p, np.asarray(query, np.float64))) >= 0)
-    sizes = vectors.groupBy("signature").agg(F.count("*").alias("n")).withColumn("far", F.bit_count(F.col("signature").bitwiseXOR(F.lit(bits).cast("long"))))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("far", "signature").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = sizes.withColumn("before", before).where(F.col("before") < TARGET * k).select("signature")
-    return exact(vectors.join(F.broadcast(chosen), "signature", "left_semi"), query, k)
+    chosen, got = [], 0
+    for signature in sorted(sizes, key=lambda s: ((s ^ bits).bit_count(), s)):
+        if got >= TARGET * k:
+            break
+        chosen.append(signature)
+        got += sizes[signature]
+    return exact(vectors.where(F.col("signature").isin(chosen)), query, k)
 
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:

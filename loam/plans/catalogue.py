@@ -62,6 +62,19 @@ def vectors_of(spark, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+#: the signed vectors of the last table asked for, and the sizes of their buckets
+_SIGNED: dict[tuple[str, str], tuple[DataFrame, dict[int, int]]] = {}
+
+
+def signed_of(spark, d: str) -> tuple[DataFrame, dict[int, int]]:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SIGNED:
+        _SIGNED.clear()
+        signed = vector.signed(vectors_of(spark, d), V.hyperplanes(64)).persist()
+        _SIGNED[key] = (signed, vector.bucket_sizes(signed))
+    return _SIGNED[key]
+
+
 def query_vector(spark, d: str, vec_id: int) -> list[float]:
     return list(read(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
 
@@ -404,7 +417,8 @@ c AS (SELECT sig, coalesce(sum(n) OVER (ORDER BY far, sig ROWS BETWEEN UNBOUNDED
 SELECT vec_id AS doc_id, round({COS}, 6) AS score FROM s WHERE sig IN (SELECT sig FROM c WHERE before < 80) ORDER BY round({COS}, 12) DESC, vec_id LIMIT 10"""
 )
 def lsh_topk(spark, d):
-    return vector.approximate(vector.signed(vectors_of(spark, d), _PLANES), query_vector(spark, d, 7), 10, _PLANES).withColumn("score", F.round("score", 6))
+    signed, sizes = signed_of(spark, d)
+    return vector.approximate(signed, query_vector(spark, d, 7), 10, _PLANES, sizes).withColumn("score", F.round("score", 6))
 
 
 @query(

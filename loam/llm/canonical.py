@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,8 @@ def grouped(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """The rows of ``prints`` (doc_id, fingerprint and others, of the same documents) with group_id.
 
     Buckets with one row are settled by their digest alone. Of the others, the canonical bytes are compared: each task sends one row per
-    digest and distinct bytes among its texts, so a hot bucket is a row per task, and these are aggregated by digest and bytes. A bucket
+    digest and distinct bytes among its texts, so a hot bucket is a row per task, and these are aggregated by digest and bytes (packed, which
+    keeps different ones different). A bucket
     of several contents is split into them.
     """
     n = partitions(docs)
@@ -78,7 +80,7 @@ def grouped(docs: DataFrame, prints: DataFrame) -> DataFrame:
             rows = list(held.items())
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], ["fingerprint", "bytes", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([zlib.compress(k[1], 1) for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], ["fingerprint", "bytes", "least"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -56,10 +56,10 @@ def freed(spark: SparkSession) -> None:
 
     They go when the driver's last reference is collected, which otherwise may not happen before the job ends.
     """
-    for _ in range(3):  # what one collection lets go is what the next one finds
+    for _ in range(4):  # what one collection lets go is what the next one finds, and Spark deletes in the background
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+        time.sleep(0.3)
 
 
 def release() -> None:

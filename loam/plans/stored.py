@@ -137,7 +137,7 @@ def bucket_summary_json(spark, d):
 
     path = f"{room(spark)}.json"
     tables.save_json(vector.summary(vector.signed(vectors_of(spark, d), _PLANES), 64), path)
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.option("multiLine", True).json(path).withColumn("avg_bucket_size", F.round("avg_bucket_size", 6))
 
 
 @query("SELECT name, 0 AS n FROM (VALUES ('pages'), ('links'), ('crawl_queue'), ('crawl_state')) v(name)")
@@ -289,7 +289,8 @@ for _f in (stream_rate_limits, stream_suggestions):
 
 def late_oracles() -> dict[str, str]:
     """Oracles that share SQL with the catalogue, which imports this module."""
-    from .catalogue import INDEX_SQL, bm25_sql
+    from .catalogue import ORACLES as OTHERS
+    from .catalogue import bm25_sql
 
-    return {"stream_rate_limits": _rates_oracle(), "stream_suggestions": _suggest_oracle(), "index_stored": bm25_sql(["ing"], ["with", "that"])}
+    return {"bucket_summary_json": OTHERS["lsh_summary"], "stream_rate_limits": _rates_oracle(), "stream_suggestions": _suggest_oracle(), "index_stored": bm25_sql(["ing"], ["with", "that"])}
 

@@ -19,6 +19,8 @@ One scan, then only packed arrays of token hashes move:
 6. Candidates are verified on their whole sets in blocks. A set's label is the least name among it and its candidates, and a
    pair's block both labels: near copies of one original share a label, so their sets go to one block, not to
    one per pair. Blocks of many sets or pairs are cut into a grid by both sides.
+7. Where only groups are asked for (``similar_groups``), long lists aren't expanded into pairs: their members meet the lists' heads, and then,
+   in families of connected lists, all sets that aren't in their group yet.
 
 Documents with equal sets form one class, which is indexed and verified once; a class's links count with
 the number of its documents. Tokens are 48-bit hashes: a collision within a pair of sets, which would
@@ -46,6 +48,9 @@ _HOT_BLOCK = 250_000  # pairs of a block's cell, about
 _BLOCK_BYTES = 32 << 20  # of the sets of a block's cell on one side
 _HOT_KEY = 4_000_000  # pairs of one key that a task enumerates
 _PART = 2_048  # members of a part of such a key's list
+_LONG = 64  # members from which on a key's list is only linked to its heads at first, where groups are asked for
+_HEADS = 4  # members of such a list that the others are compared with
+_FAMILY_BYTES = 8 << 20  # of the sets of a part of a family
 _HOT_TOKEN = 32  # documents of a flush from which on a token's owners stay with the flush
 
 
@@ -426,10 +431,22 @@ def _blocks(x: np.ndarray, y: np.ndarray, same: bool, most: int = 1_000_000):
         yield np.repeat(part, len(y)), np.tile(y, len(part))
 
 
-def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int):
+def _stars(size: np.ndarray, percent: int):
+    """Pairs of a list's heads, the first of their size, with the members of like size: as many as members, times ``_HEADS``."""
+    rest = np.arange(len(size))
+    while len(rest) > 1:
+        like = _alike(size[rest], size[rest[0]], percent)
+        near = rest[like]
+        for i in range(min(_HEADS, len(near) - 1)):
+            yield np.full(len(near) - 1 - i, near[i]), near[i + 1 :]
+        rest = rest[~like]
+
+
+def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.ndarray, percent: int, long: int | None = None):
     """Pairs of documents (a, b) that share a key and no earlier first one; of too large keys, (its members, the key).
 
     key, doc: entries in order of (key, doc) without repeats. Sizes too far apart are dropped.
+    long: of lists from that length on only pairs with heads, and (its members, ``LATER``).
     """
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     length = np.diff(start)
@@ -438,7 +455,7 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
         if m < 2:
             continue
         which = np.flatnonzero(length == m)
-        if m <= 16:
+        if m <= 16 and (long is None or m < long):
             for at in range(0, len(which), 100_000):
                 w = which[at : at + 100_000]
                 r = start[w]
@@ -451,6 +468,13 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
         else:
             for w in which:
                 list_ = doc[start[w] : start[w] + m]
+                if long is not None and m >= long:
+                    for i, j in _stars(size[list_], percent):
+                        a, b = list_[i], list_[j]
+                        ok = np.flatnonzero(_apart(first[a], first[b], place[w]) & _alike(size[a], size[b], percent))
+                        yield a[ok], b[ok], None
+                    yield list_, None, LATER
+                    continue
                 members, whole, many = _list_pairs(first[list_], int(place[w]))
                 if many > _HOT_KEY:
                     yield list_, None, int(place[w])
@@ -461,6 +485,7 @@ def _candidates(key: np.ndarray, doc: np.ndarray, size: np.ndarray, first: np.nd
                         yield np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), None
 
 
+LATER = -1  # instead of a job's part: names of the members of long lists, and of the least that lists connect each with
 _MET = "a long, b long, na int, nb int, i int, j int, job binary"
 
 
@@ -471,7 +496,19 @@ def _met_rows(a, b, na, nb):
         yield pa.RecordBatch.from_arrays([pa.array(a[part].astype(np.int64)), pa.array(b[part].astype(np.int64)), pa.array(na[part].astype(np.int32)), pa.array(nb[part].astype(np.int32)), no, no, pa.nulls(n, pa.binary())], ["a", "b", "na", "nb", "i", "j", "job"])
 
 
-def _meet(batches, percent: int):
+def _job(i: int, j: int | None, raw: bytes) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, i, j, raw), types)], ["a", "b", "na", "nb", "i", "j", "job"])
+
+
+def _roots(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        x, before = root[x], x
+        if np.array_equal(x, before):
+            return x
+
+
+def _meet(batches, percent: int, long: int | None = None):
     """Of rows in order of p: the entries of one p are joined to candidate pairs (a, b, their sizes), or to jobs for pairs of parts."""
 
     def solve(blobs):
@@ -499,20 +536,24 @@ def _meet(batches, percent: int):
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
         key, doc = key[new], doc[new]
         size, first = size[at], first[at]
-        held, count = [], 0
+        held, count, root, late = [], 0, np.arange(len(u)), np.zeros(len(u), bool)
 
         def flush():
             both = np.unique(np.concatenate(held))
             a, b = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
             return _met_rows(u[a], u[b], size[a], size[b])
 
-        for a, b, hot in _candidates(key, doc, size, first, percent):
-            if hot is not None:
+        for a, b, hot in _candidates(key, doc, size, first, percent, long):
+            if hot == LATER:
+                late[a] = True
+                ends = _roots(root, a)
+                root[ends] = ends.min()
+            elif hot is not None:
                 parts = [a[k : k + _PART] for k in range(0, len(a), _PART)]
                 packed = [np.array([hot, len(x)], np.uint64).tobytes() + planes(u[x], 8) + planes(size[x].astype(np.uint64), 4) + planes(first[x].ravel(), 6) for x in parts]
                 for i in range(len(parts)):
                     for j in range(i, len(parts)):
-                        yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip((None, None, None, None, i, j), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))), pa.array([packed[i] + (packed[j] if i < j else b"")], pa.binary())], ["a", "b", "na", "nb", "i", "j", "job"])
+                        yield _job(i, j, packed[i] + (packed[j] if i < j else b""))
             elif len(a):
                 held.append(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
                 count += len(a)
@@ -521,6 +562,10 @@ def _meet(batches, percent: int):
                     held, count = [], 0
         if held:
             yield from flush()
+        late = np.flatnonzero(late)
+        for k in range(0, len(late), 100_000):
+            part = late[k : k + 100_000]
+            yield _job(LATER, None, np.concatenate((u[part], u[_roots(root, part)])).tobytes())
 
     now, blobs = None, []
     for batch in batches:
@@ -589,8 +634,47 @@ def _verify(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
-def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, cls, n_shingles of every row; links has the pairs (a, b) of similar classes."""
+def _merge(batches, percent: int):
+    """Of rows in order of (family, i, j): the pairs of labels (a, b) of which similar sets are in the parts i and j of a family."""
+
+    def solve(i, j, held):
+        part, n, label, sets = (np.array([r[k] for r in held], np.int64) if k < 3 else [unpack(r[k])[0] for r in held] for k in range(4))
+        values, back, counts = np.unique(label, return_inverse=True, return_counts=True)
+        if len(values) < 2:
+            return
+        start = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), np.diff(start))[np.argsort(token, kind="stable")]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(token))))
+        found = []
+        # of two labels, one isn't the most frequent: its members look for others
+        for x in np.flatnonzero(back != np.argmax(counts)):
+            t = token[start[x] : start[x + 1]]
+            many = begin[t + 1] - begin[t]
+            at = np.arange(many.sum()) + np.repeat(begin[t] - np.cumsum(many) + many, many)
+            both = np.bincount(owner[at], minlength=len(sets))
+            ok = (100 * both >= percent * (n + n[x] - both)) & (label != label[x]) & (both > 0)
+            if i < j:  # pairs within one part are another block's
+                ok &= part != part[x]
+            found += [(min(label[x], y), max(label[x], y)) for y in np.unique(label[ok])]
+        found = sorted(set(found))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for family, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (family, i, j) != now and held:
+                yield from solve(*now[1:], held)
+                held = []
+            now = (family, i, j)
+            held.append(row)
+    if held:
+        yield from solve(*now[1:], held)
+    release()
+
+
+def _kept(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): members has doc_id, cls, n_shingles of every row; sets the shareable sets that may be similar to another."""
     n = partitions(docs)
     bits = _bits(n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _scan(b, width, bits), _ROW)
@@ -598,16 +682,22 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     found = checkpointed(rows.repartition(n, "f").sortWithinPartitions("f", F.desc("kind")).mapInArrow(lambda b: _sets(b, percent, bits), _SETS))
     del rows
     freed(docs.sparkSession)
-    members = found.select("doc_id", "cls", F.col("n").alias("n_shingles"))
     # a class may come from several flushes, with the same set
-    sets = found.where("whole is not null").select("cls", "n", "whole")
+    return found.select("doc_id", "cls", F.col("n").alias("n_shingles")), found.where("whole is not null").select("cls", "n", "whole")
+
+
+def _met(sets: DataFrame, percent: int, frequent: int, long: int | None = None) -> DataFrame:
+    n = partitions(sets)
     index = sets.mapInArrow(lambda b: _index(b, percent, frequent, n), "p int, blob binary")
-    met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent), _MET).distinct())
-    freed(docs.sparkSession)
-    pairs = met.where("job is null").select("a", "b", "na", "nb")
-    jobs = met.where("job is not null").select("i", "j", "job")
-    if not jobs.isEmpty():
-        pairs = checkpointed(pairs.union(jobs.repartition(n).mapInArrow(lambda b: _work(b, percent), _MET).select("a", "b", "na", "nb")).distinct())
+    met = checkpointed(index.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lambda b: _meet(b, percent, long), _MET).distinct())
+    del index
+    freed(sets.sparkSession)
+    return met
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidates (a, b) whose sets are similar."""
+    n = partitions(sets)
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     named = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
@@ -626,7 +716,51 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, fre
     rows = needed.join(paired, "cls").select("block", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "whole")
     rows = rows.unionByName(placed.select("block", "i", "j", F.lit(1).alias("kind"), "a", "b", no.cast("binary").alias("whole")))
     links = rows.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").mapInArrow(lambda b: _verify(b, percent), "a long, b long")
-    return members, checkpointed(links)
+    return checkpointed(links)
+
+
+def similar_classes(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has doc_id, cls, n_shingles of every row; links has the pairs (a, b) of similar classes."""
+    members, sets = _kept(docs, percent, width)
+    met = _met(sets, percent, frequent)
+    pairs = met.where("job is null").select("a", "b", "na", "nb")
+    jobs = met.where("job is not null").select("i", "j", "job")
+    if not jobs.isEmpty():
+        pairs = checkpointed(pairs.union(jobs.repartition(partitions(docs)).mapInArrow(lambda b: _work(b, percent), _MET).select("a", "b", "na", "nb")).distinct())
+    return members, _links(pairs, sets, percent)
+
+
+def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT, long: int = _LONG) -> tuple[DataFrame, DataFrame]:
+    """(members, groups): members as of ``similar_classes``; groups has node, component of classes, those that links connect.
+
+    A group of m near copies has some m*m/2 links, but fewer connect it. So members of long lists are compared with their lists' heads
+    first. Those whose lists connect them are a family; in it, each member is then compared with all that aren't in its group yet.
+    """
+
+    def connected(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                a, b = np.frombuffer(raw, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["cls", "head"])
+
+    n = partitions(docs)
+    members, sets = _kept(docs, percent, width)
+    met = _met(sets, percent, frequent, long)
+    groups = components(_links(met.where("job is null").select("a", "b", "na", "nb"), sets, percent))
+    later = met.where("job is not null").select("job")
+    if later.isEmpty():
+        return members, groups
+    family = components(later.mapInArrow(connected, "cls long, head long"), "cls", "head").select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    family = checkpointed(family.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "family", F.coalesce("component", "cls").alias("label")))
+    paired = with_ids(sets, family, "cls").dropDuplicates(["cls"]).join(family, "cls")
+    # large families are cut into parts, and each pair of parts is a block
+    open_ = paired.groupBy("family").agg(F.ceil(F.sum(F.length("whole")) / _FAMILY_BYTES).alias("side"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rows = paired.join(open_.select("family", "side"), "family").withColumn("part", F.pmod(F.xxhash64("cls"), "side"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))).select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "n", "label", "whole")
+    merged = rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda b: _merge(b, percent), "a long, b long")
+    merged = components(merged).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    every = groups.union(family.where("cls = label").select("cls", "label")).distinct()
+    return members, every.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = 3, frequent: int = FREQUENT) -> DataFrame:
@@ -669,8 +803,12 @@ FROM sets s
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those whose group has a lesser doc_id, all columns kept."""
-    removed = checkpointed(similar_documents(docs, percent).where("component_id < doc_id").select("doc_id"))
-    return without_ids(docs, removed)
+    members, groups = similar_groups(docs, percent)
+    classes = members.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    named = checkpointed(classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component")))
+    heads = named.groupBy("component").agg(F.min("least").alias("head"))
+    removed = members.where("n_shingles > 0").join(named, "cls").join(heads, "component").where("head < doc_id").select("doc_id")
+    return without_ids(docs, checkpointed(removed))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

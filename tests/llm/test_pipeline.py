@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loam.llm import packing, pii, toxicity
+from loam.llm import jaccard_join, packing, pii, toxicity
 from test_corpus import documents, similar_by_force
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -90,6 +90,57 @@ def test_stages(spark, folder):
         assert sorted((r.start, r.n_tokens) for r in pieces)[0][0] == 0
 
 
+@pytest.mark.parametrize("long", [2, 6, 64])
+def test_groups_without_all_links(spark, long):
+    """Groups from heads of long lists, and what those leave apart, are those of all links; sizes, drift and lone documents included."""
+    rng = random.Random(long)
+    words = [f"w{i}" for i in range(60)]
+    texts = [None, "", "one", "ONE", "a b c", "A b\nc"]
+    for k in range(8):
+        base = rng.choices(words, k=rng.choice([5, 30, 120]))
+        for _ in range(rng.choice([1, 4, 25])):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 3, 8])):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t[: len(t) - rng.choice([0, 0, len(t) // 4])]))
+            base = t if k % 2 else base  # copies of copies: the ends of a chain aren't similar
+    members, groups = jaccard_join.similar_groups(documents(spark, texts), long=long, frequent=4)
+    of, least = {r.node: r.component for r in groups.collect()}, {}
+    rows = sorted((r.doc_id, of.get(r.cls, r.cls) if r.n_shingles else f"none {r.doc_id}") for r in members.collect())
+    for i, g in rows:
+        least.setdefault(g, i)
+    assert [(i, least[g]) for i, g in rows] == [(i, root) for i, _, _, root in similar_by_force(texts)]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """The pairs that are compared grow as the members of a group, not as their pairs."""
+    rng, counts, checkpointed = random.Random(5), [], jaccard_join.checkpointed
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(500):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 6])):
+            t[rng.randrange(100)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(t))
+
+    def counted(df):
+        out = checkpointed(df)
+        if {"a", "b"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "checkpointed", counted)
+    kept = jaccard_join.keep_first(documents(spark, texts)).collect()
+    shingled = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in map(str.split, texts)]
+    left, group = set(range(1, 500)), [0]
+    for i in group:
+        near = {j for j in left if 100 * len(shingled[i] & shingled[j]) >= 70 * len(shingled[i] | shingled[j])}
+        left -= near
+        group += near
+    assert len(group) > 400 and {r.doc_id for r in kept} & set(group) == {0}
+    assert counts and max(counts) < 10 * 500
+
+
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and {"doc_id", "piece", "n_tokens", "shard", "bin", "start", "capacity"} == set(rows[0].asDict()) and corpus_pipeline.ORACLE_SQL is None

@@ -19,6 +19,8 @@ from loam.sources import embedders, fetch, files, jsonl, lists, tables, vectorfi
 from loam.streaming import incremental
 from loam.streaming.crawler import Crawl, Progress
 
+SMALL = "/root/testdata"
+
 
 def page(url, title, content):
     return json.dumps({"url": url, "title": title, "meta_description": "", "content": content, "content_length": len(content), "headings": [], "links": [], "word_count": len(content.split())}, ensure_ascii=False)
@@ -32,6 +34,23 @@ def test_lines_over_splits(spark, tmp_path):
     assert [r.line for r in files.lines(spark, str(p), 5).collect()] == ["333", "last"]
 
 
+def test_incremental_file_holds_no_whole_file(spark, monkeypatch):
+    from loam.plans import stored
+
+    whole = files.read_whole
+    monkeypatch.setattr(files, "read_whole", lambda path: whole(path) if path.endswith((".json", "CURRENT", "META")) and "part-" not in path else pytest.fail(f"{path} is read as a whole"))
+    assert [tuple(r)[1:] for r in stored.incremental_file(spark, f"{SMALL}/sf0.001").orderBy("run").collect()][2:] == [(2, 1, 1, 0), (0, 0, 0, 0)]
+
+
+def test_write_joined(spark, tmp_path):
+    for name, data in (("a", b"x" * 9 + b"\n"), ("b", b""), ("c", "é".encode())):
+        (tmp_path / name).write_bytes(data)
+    path = str(tmp_path / "all")
+    files.write_joined(path, [str(tmp_path / "a"), str(tmp_path / "b"), b"1\n", str(tmp_path / "c")])
+    files.write_joined(path, [path, b"2"])
+    assert files.read_whole(path) == b"x" * 9 + "\n1\né2".encode() and len(list(tmp_path.iterdir())) == 4
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "pages.jsonl"
     p.write_text("\n".join([page("u/1", "One", "alpha β"), "", page("u/2", "Two", "gamma")]) + "\n", encoding="utf-8")

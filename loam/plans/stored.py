@@ -63,13 +63,11 @@ def jsonl_roundtrip(spark, d):
 @query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, {URL} AS url FROM documents")
 def jsonl_tail(spark, d):
     """One file, taken in from its start and from the offset at which a first part ended."""
-    path = room(spark)
-    rows = parsed(spark, d)
-    jsonl.write(rows.coalesce(1).sortWithinPartitions("doc_id"), path)
-    [(file, _)] = files.listed(path)
+    root = room(spark)
+    file = in_one_file(parsed(spark, d), f"{root}/parts", f"{root}/pages.jsonl")
     first = jsonl.tail(spark, file).orderBy("seq").limit(10)
     stop = first.agg(F.max("next")).first()[0]
-    both = first.unionByName(jsonl.tail(spark, file, stop))
+    both = first.unionByName(jsonl.tail(spark, file, stop)).select("seq", "url")
     return ix.numbered(both, "seq", name="n").select("n", "url")
 
 

@@ -51,6 +51,18 @@ def test_write_joined(spark, tmp_path):
     assert files.read_whole(path) == b"x" * 9 + "\n1\né2".encode() and len(list(tmp_path.iterdir())) == 4
 
 
+def test_one_file_of_several_tasks(spark, tmp_path):
+    from loam.plans import stored
+
+    rows = spark.range(0, 500, 1, 4).select((499 - F.col("id")).alias("doc_id"), F.concat(F.lit("u/"), (499 - F.col("id")).cast("string")).alias("url"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        file = stored.in_one_file(rows, f"{tmp_path}/parts", f"{tmp_path}/all")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files.listed(f"{tmp_path}/parts")) == 4 and [r.url for r in jsonl.tail(spark, file).orderBy("seq").collect()] == [f"u/{i}" for i in range(500)]
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "pages.jsonl"
     p.write_text("\n".join([page("u/1", "One", "alpha β"), "", page("u/2", "Two", "gamma")]) + "\n", encoding="utf-8")

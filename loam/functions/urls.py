@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -57,6 +56,6 @@ def absolute(base: str, href: str) -> str | None:
     return urlunsplit((u.scheme, u.netloc, quote(u.path, safe=safe) or "/", quote(u.query, safe=safe + "?/"), quote(u.fragment, safe=safe + "?/")))
 
 
-@F.pandas_udf(ty.ArrayType(ty.StringType()))
-def absolute_links(base: pd.Series, hrefs: pd.Series) -> pd.Series:
-    return pd.Series([[a for h in (hs if hs is not None else []) if (a := absolute(b, h))] for b, hs in zip(base, hrefs)])
+@F.udf(ty.ArrayType(ty.StringType()), useArrow=False)
+def absolute_links(base: str, hrefs: list[str] | None) -> list[str]:
+    return [a for h in hrefs or [] if (a := absolute(base, h))]

@@ -110,10 +110,13 @@ def links_of(pages: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def parse_pages(pages: DataFrame, least: int = 100, limit: int | None = None) -> DataFrame:
-    """Parsed pages of more than ``least`` characters; with ``limit``, at most so many of them, those of least page_id."""
-    from ..functions.page import parse_page_udf
+def parse_pages(pages: DataFrame, least: int = 100, limit: int | None = None, bare: bool = True) -> DataFrame:
+    """Parsed pages of more than ``least`` characters; with ``limit``, at most so many of them, those of least page_id.
+
+    ``bare``: references without a semicolon count where HTML lets them; else they stay text.
+    """
+    from ..functions.page import parse_page_strict_udf, parse_page_udf
 
     long = pages.where(F.length("html") > least)
     long = long if limit is None else long.orderBy("page_id").limit(limit)
-    return long.select("page_id", "url", parse_page_udf(F.col("html")).alias("p")).select("page_id", "url", "p.*")
+    return long.select("page_id", "url", (parse_page_udf if bare else parse_page_strict_udf)(F.col("html")).alias("p")).select("page_id", "url", "p.*")

@@ -76,3 +76,11 @@ def test_page_queries_follow_their_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for name in ("html_parse", "html_counts"):
         assert [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()] == con.sql(catalogue.ORACLES[name]).fetchall()
+
+
+def test_pages_go_to_python_by_few(spark):
+    from loam.operators import crawl
+
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("https://a.org/").alias("url"), F.lit("<a href='/x'>x</a>" + "y" * 200).alias("html"))
+    for rows in (crawl.parse_pages(pages), crawl.links_of(pages)):
+        assert "ArrowEvalPython" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,8 @@
-"""Text analysis as column expressions; only the stemmer is Python, over distinct words."""
+"""Text analysis as column expressions; only the stemmer is Python."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOP_WORDS = tuple("the and for are but not you all can her was one our out day get has him his how man new now old see two way who boy did its let put say she too use".split())
@@ -69,11 +69,3 @@ def snippet(content: Column, query_tokens: Column, context: int = 20) -> Column:
     body = F.array_join(F.slice(ws, start + 1, width), " ")
     marked = F.aggregate(query_tokens, body, lambda s, t: F.regexp_replace(s, F.concat(F.lit(r"(?iu)("), F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(")")), F.lit("**$1**")))
     return F.when(n == 0, "").otherwise(F.concat(F.when(start > 0, "...").otherwise(""), marked, F.when(start + width < n, "...").otherwise("")))
-
-
-def stemmed(df: DataFrame, column: str) -> DataFrame:
-    """Replace the words of an exploded column by their stems, worked out once per distinct word."""
-    from .stem import stem_udf
-
-    vocabulary = df.select(column).distinct().withColumn("__stem", stem_udf(F.col(column)))
-    return df.join(vocabulary, column).withColumn(column, F.col("__stem")).drop("__stem")

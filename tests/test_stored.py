@@ -182,6 +182,28 @@ def test_numbered(spark):
     assert all(r.v - 1 == r.number for r in numbered(rows, "v").collect())
 
 
+def some_pages(spark, n=40):
+    rows = [(i, f"https://h{i}.org/nations/{i}", f"Thing {i}", "running runs things " * (i % 4 + 1) + f"word{i} nation", ["Heads run"], 3) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, url string, title string, content string, headings array<string>, word_count int")
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stems_are_counted_in_place(spark):
+    from loam.functions.stem import stem
+
+    docs = ix.prepare(some_pages(spark))
+    stemmed = ix.postings(docs, stem=True)
+    assert "Exchange" not in plan(stemmed)
+    want = {}
+    for r in ix.postings(docs).collect():
+        at = want.setdefault((stem(r.term), r.doc_id), [[0] * 4, r.doc_length])
+        at[0] = [a + r[f] for a, f in zip(at[0], ix.FIELDS)]
+    assert {(r.term, r.doc_id): [[r[f] for f in ix.FIELDS], r.doc_length] for r in stemmed.collect()} == want
+
+
 def test_shards(spark, tmp_path):
     docs = [(i, f"https://h{i}.org/x/{i}", f"Title {i}", "alpha " * (i % 5 + 1) + "beta", [], 3) for i in range(20)]
     pages = spark.createDataFrame(docs, "doc_id long, url string, title string, content string, headings array<string>, word_count int")

@@ -215,6 +215,13 @@ def test_search_counts_only_its_words(spark):
     assert counted(index.terms()) == counted(index.postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
+def test_all_postings_move_documents_only(spark):
+    index = ix.build(some_pages(spark), allow_duplicates=True)
+    for rows in (index.all_postings(), index.all_postings(shard=ix.shard_of(F.col("url"), 3))):
+        assert plan(rows).count("Exchange") == 1 and "Join" not in plan(rows)
+    assert sorted(map(tuple, index.all_postings().collect())) == sorted(map(tuple, index.postings.collect()))
+
+
 def test_shards(spark, tmp_path):
     docs = [(i, f"https://h{i}.org/x/{i}", f"Title {i}", "alpha " * (i % 5 + 1) + "beta", [], 3) for i in range(20)]
     pages = spark.createDataFrame(docs, "doc_id long, url string, title string, content string, headings array<string>, word_count int")

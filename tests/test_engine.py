@@ -52,6 +52,12 @@ def test_pagerank(spark):
     assert pagerank(edges([]) if False else edges([("a", "b")]).limit(0)).count() == 0
 
 
+def test_pagerank_of_unique_links(spark):
+    edges = spark.createDataFrame([("a", "z"), ("b", "z"), ("z", "a"), (None, "a")], "from_url string, to_url string")
+    ranks = lambda rows, **how: {r.url: round(r.score, 12) for r in pagerank(rows, **how).collect()}
+    assert ranks(edges, unique=True) == ranks(edges.union(edges)) and set(ranks(edges, unique=True)) == {"a", "b", "z"}
+
+
 def test_urls(spark):
     rows = spark.createDataFrame([("https://Example.COM/path/",), ("https://example.com/Path#f",), ("https://example.com/",), ("https://example.com//?Q=1",), ("nonsense",)], "u string")
     assert [r[0] for r in rows.select(U.normalize_url(F.col("u"))).collect()] == ["https://example.com/path", "https://example.com/path", "https://example.com/", "https://example.com/?Q=1", None]
